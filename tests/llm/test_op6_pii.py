@@ -1,0 +1,88 @@
+import hashlib
+import random
+import re
+
+from conftest import frame
+from stratalith.llm.pii import KINDS, base_spans, disclosing, luhn, report, sanitise
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
+    out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), m.end(), 2) for m in CARD.finditer(text) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), m.end(), 3) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_spans_equal_the_patterns():
+    rnd = random.Random(8)
+    some = ["a", "B", "1", "4", "0", "25", "255", "@", "@", ".", ".", "-", " ", "+", "+1", "(", ")", "_", "é", "4111 1111 1111 1111", "1.2.3.4", "x@y.zz"]
+    for _ in range(20_000):
+        text = "".join(rnd.choices(some, k=rnd.randrange(1, 30)))
+        assert base_spans(text) == brute(text), text
+
+
+def test_long_runs_are_linear():
+    for c in ("a", "1", "1.", "+1", "a@", "a.", "1 ", "+1("):
+        base_spans(c * 100_000)
+
+
+def check(docs, texts):
+    rows = {r["doc_id"]: r for r in report(docs).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        want = brute(text)
+        said = [f"{KINDS[k]}:{a}:{b}" for a, b, k in want]
+        r = rows[i]
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(x[2] == j for x in want) for j in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("term")] == said
+
+
+def test_edge_cases(edge, edge_texts):
+    check(edge, edge_texts)
+
+
+def test_documents(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    check(frame(spark, texts), texts)
+
+
+def told(spark):
+    rnd = random.Random(1)
+    fill = [f"w{i}" for i in range(300)]
+    some = lambda n: " ".join(rnd.choices(fill, k=n))
+    texts = [f"{some(5)} Dr Éva Kovács-Zrínyi writes from eva@h.example {some(5)}" for _ in range(4)]
+    texts += [f"{some(9)} the dr {some(9)}" for _ in range(150)] + [f"mail a{i}@h.example {some(4)}" for i in range(20)]
+    copies = ["unique strange phrase c@h.example here"] * 30
+    return frame(spark, texts + copies), texts
+
+
+def test_terms_that_tell_an_entity_are_marked_and_others_are_not(spark):
+    docs, texts = told(spark)
+    rows = {r["doc_id"]: r["spans"] for r in report(docs).collect()}
+    for i, text in enumerate(texts):
+        terms = {text[int(a) : int(b)] for k, a, b in (x.split(":") for x in rows[i].split(",") if x) if k == "term"}
+        assert terms == ({"Éva", "Kovács-Zrínyi", "writes", "from"} if i < 4 else set()), text
+    assert all("term" not in rows[i] for i in range(len(texts), len(rows)))  # copies are one context
+    out = {r["doc_id"]: r["text"] for r in sanitise(docs).collect()}
+    assert "Éva" not in out[0] and "[EMAIL]" in out[0] and "@" not in "".join(out.values()) and out[10] == texts[10]
+    assert disclosing(docs).where("ratio > 1 or ratio < 0.9").count() == 0
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    docs, _ = told(spark)
+    want = sorted(map(tuple, report(docs).collect()))
+    monkeypatch.setattr("stratalith.llm.pii.BLOCK_PAIRS", 2)
+    assert sorted(map(tuple, report(docs).collect())) == want
+
+
+def test_empty_table(empty):
+    assert report(empty).count() == 0 and sanitise(empty).count() == 0
