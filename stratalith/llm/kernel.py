@@ -122,3 +122,33 @@ def windows(hashes: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
     terms = hashes * _powers(_BASE, len(hashes))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
     return mixed((sums[at + length] - sums[at]) * _powers(_INVERSE, max(1, len(hashes)))[at] + U(length))
+
+
+class Lookup:
+    """Places of known 64-bit hashes, by open addressing; the table has at least four slots a key."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = U((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        left, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(left):
+            free = self.slots[at] < 0
+            where, first = np.unique(at[free], return_index=True)
+            self.slots[where] = left[free][first]
+            stays = self.slots[at] != left
+            left, at = left[stays], (at[stays] + 1) & int(self.mask)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.keys):
+            return out
+        left, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(left):
+            slot = self.slots[at]
+            same = (slot >= 0) & (self.keys[slot] == hashes[left])
+            out[left[same]] = slot[same]
+            on = (slot >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & int(self.mask)
+        return out
