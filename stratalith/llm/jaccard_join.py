@@ -1,16 +1,17 @@
 """Similarity join of documents on sets of word n-grams (Jaccard), size-aware: small sets by subsets, large ones by lists.
 
 Equal sets are one class; only classes are joined. All tokens (hashed n-grams) have one global order: by hash, but tokens in
-many documents come last. Two sets whose overlap is at least o share one of their first |x| - o + 1 tokens, and two of their
-first |x| - o + 2. So
-- small sets enumerate all two-token subsets of their prefix, which meet others only in near copies;
-- large sets put the tokens of their prefix on inverted lists. Pairs with a large set are found there (a small set that is
-  large enough to pair with one is on the lists too).
+many documents come last. Two sets whose overlap is at least o share j of their first |x| - o + j tokens. So
+- small sets enumerate all two-token subsets of their prefix (j = 2), which meet others only in near copies;
+- large sets put the tokens of their prefix (j = SHARED) on inverted lists. Pairs with a large set are found there (a small
+  set that is large enough to pair with one is on the lists too).
 The boundary is the size up to which subsets cost less: rows to enumerate against list entries to scan, whose mean length
-is measured. Sets that meet are handed, once for each distinct pivot (the least class on a list), to groups of bounded
-size, larger ones in pairs of blocks; there all overlaps are counted exactly and only a spanning forest of the links comes
-out. Components of that forest, with the classes expanded, are the result. Nothing is dropped or capped: an order or a
-boundary that is badly chosen costs time, not links.
+is measured. On a list of at most HEAVY classes, pairs whose sizes fit are counted, and those with enough common entries are
+candidates. A longer list (of a large group of near copies: there nearly all tokens are in many documents) makes each of its
+members a candidate with the list's least class. Connected candidates form a group; groups are split by size into pairs of
+blocks. In a group all overlaps are counted exactly, and only a spanning forest of the links comes out. Components of that
+forest, with the classes expanded, are the result. Nothing is dropped or capped: an order or a boundary that is badly chosen
+costs time, not links.
 
 Hashes: tokens, classes and lists are 64-bit hashes. Nulls: a null text, like one without words, has no set and no links. A
 row without doc_id links like others but names no component. Repeated rows are copies. Empty table: empty result. Extra
@@ -31,8 +32,10 @@ from .kernel import Words, mixed, slices, windows
 from .shared import Bloom, table, written
 
 SHINGLE, PERCENT = 3, 90
-#: A token in more documents than this comes last in the order (more, if more than MAX_HEAVY tokens would).
-HEAVY, MAX_HEAVY = 256, 1_000_000
+#: Common tokens of the prefixes of large sets.
+SHARED = 4
+#: A token in more documents than this comes last in the order (more, if more than MAX_HEAVY tokens would); on lists of at most so many, pairs are formed.
+HEAVY, MAX_HEAVY = 16, 1_000_000
 #: A group holds about so many tokens and sets at most; larger ones are split into pairs of blocks.
 GROUP_TOKENS, GROUP_SETS = 1_500_000, 8_000
 MAX_SUBSET_PREFIX = 12
@@ -113,20 +116,21 @@ class Plan:
         late = self.heavy[at] == tokens
         return np.concatenate((tokens[~late][:size], tokens[late]))[:size]
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """The lists that a set is on."""
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        """The lists that a set is on: subsets of its prefix, then tokens; how many are subsets."""
         n = len(tokens)
         if not n or not self.links(n):
-            return np.zeros(0, np.uint64)
-        out = []
+            return np.zeros(0, np.uint64), 0
+        out, subsets = [], 0
         if n <= self.boundary:
             first = self.ordered(tokens, prefix(n, self.percent, 2))
             i, j = np.triu_indices(len(first), 1)
             a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
             out.append(mixed(a * np.uint64(3) + mixed(b)))
+            subsets = len(i)
         if n >= self.least_on_lists:
-            out.append(mixed(self.ordered(tokens, prefix(n, self.percent)) + np.uint64(1)))
-        return np.concatenate(out)
+            out.append(mixed(self.ordered(tokens, prefix(n, self.percent, SHARED)) + np.uint64(1)))
+        return np.concatenate(out), subsets
 
 
 def prefix_tokens(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -136,7 +140,7 @@ def prefix_tokens(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, _ = token_sets(part.column("text"), n)
-                some = [s[: prefix(len(s), percent, 2) * 5 // 4] for s in sets if len(s)]
+                some = [s[: prefix(len(s), percent, SHARED) * 5 // 4] for s in sets if len(s)]
                 if some:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], ["token"])
 
@@ -160,7 +164,7 @@ def planned(docs: DataFrame, n: int, percent: int) -> Plan:
 
 
 def listed(docs: DataFrame, plan: Plan, wanted: Bloom | None) -> DataFrame:
-    """list, k, n of every entry of the lists, or of those that the filter has."""
+    """list, k, n, w of every entry of the lists, or of those that the filter has; w: for how many common entries it stands."""
     sent = docs.sparkSession.sparkContext.broadcast((plan, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,19 +173,21 @@ def listed(docs: DataFrame, plan: Plan, wanted: Bloom | None) -> DataFrame:
             for part in slices(batch, "text"):
                 sets, _ = token_sets(part.column("text"), plan.n)
                 keys = [plan.keys(s) for s in sets]
-                sizes = np.array([len(x) for x in keys])
-                out = np.concatenate([np.zeros(0, np.uint64), *keys])
+                sizes = np.array([len(x) for x, _ in keys])
+                out = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in keys)])
                 row = np.repeat(np.arange(len(sets)), sizes)
+                place = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                w = np.where(place < np.array([c for _, c in keys], np.int64)[row], SHARED, 1)
                 if wanted is not None:
                     some = wanted.has(out)
-                    out, row = out[some], row[some]
+                    out, row, w = out[some], row[some], w[some]
                 used = np.unique(row)
                 k = np.zeros(len(sets), np.int64)
                 k[used] = [class_of(sets[i]) for i in used]
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(k[row]), pa.array(n[row] if len(row) else np.zeros(0, np.int64))], ["list", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(k[row]), pa.array(n[row] if len(row) else np.zeros(0, np.int64)), pa.array(w)], ["list", "k", "n", "w"])
 
-    return docs.select("text").mapInArrow(run, "list bigint, k bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "list bigint, k bigint, n bigint, w bigint")
 
 
 def bloom(keys: DataFrame, column: str) -> Bloom:
@@ -251,10 +257,18 @@ def links(docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     plan = planned(docs, n, percent)
     counted = listed(docs, plan, None).groupBy("list").agg(F.count("*").alias("c")).where("c > 1").select("list")
-    rows = listed(docs, plan, bloom(written(spark, counted, "lists"), "list")).groupBy("list", "k").agg(F.first("n").alias("n"))
+    rows = listed(docs, plan, bloom(written(spark, counted, "lists"), "list")).groupBy("list", "k").agg(F.first("n").alias("n"), F.first("w").alias("w"))
     rows = written(spark, rows, "entries")
-    pivots = rows.groupBy("list").agg(F.min("k").alias("pivot"), F.max("k").alias("last")).where("pivot < last").select("list", "pivot")
-    members = written(spark, rows.join(pivots, "list").select("pivot", "k", "n").distinct(), "members")
+    lists = rows.groupBy("list").agg(F.count("*").alias("c"), F.min("k").alias("pivot")).where("c > 1")
+    rows = written(spark, rows.join(lists, "list"), "shared-entries")
+    few = rows.where(F.col("c") <= HEAVY).select("list", "k", "n", "w")
+    other = few.select("list", F.col("k").alias("k2"), F.col("n").alias("n2"))
+    fits = (F.col("k") < F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    pairs = few.join(other, "list").where(fits).groupBy("k", "k2").agg(F.sum("w").alias("common"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    pairs = pairs.where(F.expr(f"common >= least({SHARED}, ({percent} * (n + n2) + {99 + percent}) div {100 + percent})"))
+    stars = rows.where((F.col("c") > HEAVY) & (F.col("k") != F.col("pivot"))).select(F.col("k").alias("a"), F.col("pivot").alias("b"))
+    groups = components(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).unionByName(stars)).select(F.col("component").alias("pivot"), F.col("node").alias("k"))
+    members = written(spark, groups.join(rows.groupBy("k").agg(F.first("n").alias("n")), "k"), "members")
     weights = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("bigint").alias("blocks"))
     block = F.pmod(F.xxhash64("k"), F.col("blocks"))
     dealt = members.join(weights, "pivot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
