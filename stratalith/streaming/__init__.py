@@ -1,0 +1 @@
+"""The dialect has no streams; this subpackage is empty on purpose."""
