@@ -29,6 +29,7 @@ class Entry:
     next_order: int = 0
     depth: int = 0
     engine: str = "Memory"
+    stored: bool = False  # read back from files, which need not come in the order of the rows
 
     def field(self, column: str) -> Field:
         for f in self.fields:

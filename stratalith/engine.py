@@ -169,7 +169,7 @@ class Engine:
 
     def _put(self, entry: Entry) -> None:
         if entry.depth >= MAX_DEPTH:
-            entry = replace(entry, df=self.written(entry.df, entry.name), depth=0)
+            entry = replace(entry, df=self.written(entry.df, entry.name), depth=0, stored=True)
         self.catalog.put(entry)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:

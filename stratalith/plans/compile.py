@@ -161,7 +161,7 @@ class Compiler:
             else:
                 self.check_scalar(item, f)
                 keys += X.order_keys(item.function, column(f), f.type, item.argument, k.descending)
-        if keys and needs_order or q.limit is not None:
+        if keys and needs_order or q.limit is not None or self.ordered and entry.stored:
             keys.append(F.col(ORDER))
         made = [self.projected(i, entry) for i in items]
         df = self.page(df, keys, q)
