@@ -97,7 +97,7 @@ def test_casts(db):
     assert rows(db, "SELECT CAST(r AS Int64) AS v, id FROM floats WHERE id < 7 ORDER BY id") == [(MIN, 1), (9223372036854774784, 2), (-12, 3), (7, 4), (0, 5), (0, 6)]
     with pytest.raises(NumericOverflow, match=r"CAST\(Float64 AS Int64\)"):
         rows(db, "SELECT CAST(r AS Int64) AS v FROM floats")
-    assert rows(db, "SELECT CAST(r AS String) AS v, id FROM floats WHERE id >= 7 ORDER BY id") == [("9223372036854775808", 7), ("1" + "0" * 23, 8), ("-0", 9)]
+    assert rows(db, "SELECT CAST(r AS String) AS v, id FROM floats WHERE id >= 7 ORDER BY id") == [("9223372036854776000", 7), ("1" + "0" * 23, 8), ("-0", 9)]
     assert rows(db, "SELECT CAST(s AS Int64) AS v FROM texts WHERE id = 6") == [(17,)]
     assert rows(db, "SELECT CAST(s AS Float64) AS v FROM texts WHERE id = 9") == [(-62.5,)]
     assert rows(db, "SELECT CAST(s AS Bool) AS v FROM texts WHERE id = 10") == [(True,)]
