@@ -40,20 +40,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Bloom:
     """A Bloom filter over 64-bit hashes. Its size is fixed by log2_bits, so it may be broadcast whatever the input."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, probes: int = 2):
+        self.words, self.probes = words, probes
         self.mask = np.uint64(len(words) * 64 - 1)
 
     @classmethod
-    def of(cls, hashes: DataFrame, column: str, log2_bits: int = 25) -> Bloom:
+    def of(cls, hashes: DataFrame, column: str, log2_bits: int = 25, probes: int = 2) -> Bloom:
         """Set bits are OR-ed on the executors, one row for each 64-bit word; the driver gets at most 2^(log2_bits - 6) rows."""
         mask = (1 << log2_bits) - 1
-        at = hashes.select(F.explode(F.array(F.expr(f"{column} & {mask}L"), F.expr(f"shiftrightunsigned({column}, 32) & {mask}L"))).alias("at"))
+        at = hashes.select(F.explode(F.array(F.expr(f"{column} & {mask}L"), F.expr(f"shiftrightunsigned({column}, 32) & {mask}L"))).alias("at") if probes == 2 else F.expr(f"{column} & {mask}L").alias("at"))
         at = at.select(F.expr("shiftright(at, 6)").alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
         got = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         words = np.zeros(1 << (log2_bits - 6), np.uint64)
         words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-        return cls(words)
+        return cls(words, probes)
 
     def __contains__(self, _: object) -> bool:
         raise TypeError("use has()")
@@ -61,6 +61,6 @@ class Bloom:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """For each uint64 hash: False if it was surely not put in."""
         out = np.ones(len(hashes), bool)
-        for at in (hashes & self.mask, (hashes >> np.uint64(32)) & self.mask):
+        for at in (hashes & self.mask, (hashes >> np.uint64(32)) & self.mask)[: self.probes]:
             out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
         return out

@@ -3,12 +3,13 @@
 A window is WINDOW consecutive words. Short anchors (WINDOW - PERIOD + 1 words) are hashed only at word positions whose
 remainder modulo PERIOD lies in a difference cover: whatever the offset of two equal windows, some anchor lies in both at the
 same place. So:
-1. Anchors of all documents are grouped by hash, pre-aggregated to the smallest and largest doc_id: those of two documents
-   are shared.
-2. Documents are read again; each shared anchor extends to the windows around it, and only these are hashed (128 bits).
+0. Of rows with equal texts only the one with the least doc_id goes on: all windows of the others are repeats. Rows whose
+   text's hash is in no Bloom filter of the texts found twice are not touched for this.
+1. Anchors of all documents (each once a document) are counted by hash, pre-aggregated: those of two documents are shared.
+2. Documents are read again; each shared anchor extends to the windows around it, and only these are hashed (64 bits).
    Documents with none are done. Windows and the texts of the others go to a table.
 3. Windows are grouped by hash, pre-aggregated to their smallest doc_id; a window of a larger doc_id is a repeat, and its
-   words go.
+   words go. A filter of the hashes found twice keeps other windows from being shuffled again for this.
 Shared anchors reach the documents as a Bloom filter of bounded size (a false hit costs a window that step 3 finds alone), or
 beyond MAX_BLOOM anchors by joins on the anchor and on doc_id.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Words, mixed, slices, windows
+from .kernel import Words, slices, windows
 from .shared import Bloom, table, written
 
 WINDOW, PERIOD = 50, 31
@@ -53,11 +54,6 @@ def difference_cover(period: int) -> tuple[int, ...]:
         size += 1
 
 
-def second(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes of the same words, for windows of 128 bits."""
-    return mixed(hashes ^ np.uint64(0xA5A5_5A5A_C3C3_3C3C))
-
-
 class Anchored:
     """The words of some rows and the places of their anchors."""
 
@@ -82,40 +78,79 @@ class Anchored:
         return near[near + window <= words.first[words.row[near] + 1]]
 
 
-def anchor_rows(docs: DataFrame, window: int, period: int) -> DataFrame:
+def without(batch: pa.RecordBatch, twice: Bloom | None, keep: bool = False) -> pa.RecordBatch:
+    """The rows whose text is surely not there twice, or with keep the others. A row without text or doc_id is never a copy."""
+    if twice is None:
+        return batch
+    maybe = twice.has(batch.column("_x").to_numpy().view(np.uint64)) & np.array(batch.column("doc_id").is_valid()) & np.array(batch.column("text").is_valid())
+    return batch.filter(pa.array(maybe if keep else ~maybe))
+
+
+def anchor_rows(docs: DataFrame, window: int, period: int, twice: Bloom | None = None) -> DataFrame:
     """h, doc_id, place of every anchor."""
+    sent = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(without(batch, sent.value), "text"):
                 own = Anchored(part, window, period)
                 rows = own.words.row[own.at]
                 yield pa.RecordBatch.from_arrays([pa.array(own.anchors.view(np.int64)), part.column("doc_id").take(pa.array(rows)), pa.array(own.at - own.words.first[rows])], ["h", "doc_id", "place"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "h bigint, doc_id bigint, place bigint")
+    return docs.where("doc_id is not null").mapInArrow(run, "h bigint, doc_id bigint, place bigint")
+
+
+def anchor_hashes(docs: DataFrame, window: int, period: int, twice: Bloom | None = None) -> DataFrame:
+    """h of every anchor, once for each document that has it."""
+    sent = docs.sparkSession.sparkContext.broadcast(twice)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(without(batch, sent.value), "text"):
+                own = Anchored(part, window, period)
+                rows = own.words.row[own.at]
+                order = np.lexsort((own.anchors, rows))
+                rows, anchors = rows[order], own.anchors[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64))], ["h"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "h bigint")
+
 
+def only(rows: DataFrame, wanted: Bloom) -> DataFrame:
+    """The rows whose h the filter has."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
 
-PARTS = "part int, doc_id bigint, t bigint, place bigint, h bigint, h2 bigint, n_words bigint, kept_sha256 string, text string"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.has(batch.column("h").to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+PARTS = "part int, doc_id bigint, t bigint, place bigint, h bigint, n_words bigint, kept_sha256 string, text string"
 #: part: a document that is done; a window; the text of a document with windows.
 DONE, WINDOW_ROW, TEXT = 0, 1, 2
 
 
-def parted(docs: DataFrame, window: int, period: int, shared: Bloom | None) -> DataFrame:
-    """Rows of the three parts. docs has _anchors (places) where shared is None. t: a hash of the text, so that rows that repeat a doc_id stay apart."""
-    sent = docs.sparkSession.sparkContext.broadcast(shared)
+def parted(docs: DataFrame, window: int, period: int, shared: Bloom | None, twice: Bloom | None = None, repeated: bool = True) -> DataFrame:
+    """Rows of the three parts. docs has _anchors (places) where shared is None. t: a hash of the text (0 if no doc_id is repeated), so that rows that repeat one stay apart."""
+    sent = docs.sparkSession.sparkContext.broadcast((shared, twice))
     schema = pa.schema([(n, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[k]) for n, k in (x.split() for x in PARTS.split(", "))])
 
     def made(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, twice = sent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(without(batch, twice), "text"):
                 own = Anchored(part, window, period)
                 words, ids = own.words, part.column("doc_id")
                 known = np.array(ids.is_valid())
-                if sent.value is not None:
-                    hit = own.at[sent.value.has(own.anchors) & known[words.row[own.at]]]
+                if shared is not None:
+                    hit = own.at[shared.has(own.anchors) & known[words.row[own.at]]]
                 else:
                     lists = part.column("_anchors")
                     hit = np.concatenate([np.zeros(0, np.int64), *(words.first[i] + np.unique(x.values.to_numpy()) for i, x in enumerate(lists) if x.is_valid and len(x.values) and known[i])])
@@ -123,7 +158,7 @@ def parted(docs: DataFrame, window: int, period: int, shared: Bloom | None) -> D
                 some = np.zeros(words.rows, bool)
                 some[words.row[at]] = True
                 texts = [words.raw[a:b].tobytes() for a, b in zip(words.at[:-1], words.at[1:], strict=True)]
-                t = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big", signed=True) if s else 0 for x, s in zip(texts, some, strict=True)], np.int64)
+                t = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "big") if s and repeated else 0 for x, s in zip(texts, some, strict=True)], np.int64)
                 done, left = np.flatnonzero(~some), np.flatnonzero(some)
                 sums = [hashlib.sha256(b" ".join(texts[i].split())).hexdigest() for i in done]
                 yield made(len(done), part=pa.array(np.full(len(done), DONE, np.int32)), doc_id=ids.take(pa.array(done)), n_words=pa.array(words.counts[done]), kept_sha256=pa.array(sums, pa.string()))
@@ -137,7 +172,6 @@ def parted(docs: DataFrame, window: int, period: int, shared: Bloom | None) -> D
                         t=pa.array(t[rows]),
                         place=pa.array(at - words.first[rows]),
                         h=pa.array(windows(own.hashes, window, at).view(np.int64)),
-                        h2=pa.array(windows(second(own.hashes), window, at).view(np.int64)),
                     )
 
     return docs.mapInArrow(run, PARTS)
@@ -173,27 +207,57 @@ def cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
     return texts.select("doc_id", "text", "places").mapInArrow(run, FOUND + ", kept string" * with_text)
 
 
+def copies_apart(docs: DataFrame) -> tuple[DataFrame, Bloom, DataFrame]:
+    """docs with _x (a hash of the text), the filter of texts that are there twice, and the rows that it has, with the least doc_id of their text."""
+    spark = docs.sparkSession
+    own = docs.withColumn("_x", F.xxhash64("text"))
+    keyed = own.select("doc_id", "_x", F.md5(F.col("text").cast("binary")).alias("_key"))
+    twice = keyed.where("doc_id is not null and _key is not null").groupBy("_key").agg(F.min("doc_id").alias("least"), F.first("_x").alias("_x"), F.count("*").alias("c")).where("c > 1")
+    twice = written(spark, twice.select("_key", "least", "_x"), "copied-texts")
+    found = Bloom.of(twice, "_x", min(27, max(16, (16 * twice.count()).bit_length())))
+    sent = spark.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield without(batch, sent.value, keep=True)
+
+    maybe = own.mapInArrow(run, own.schema).withColumn("_key", F.md5(F.col("text").cast("binary")))
+    least = maybe.join(twice.select("_key", "least"), "_key", "left").select("doc_id", "text", F.coalesce("least", "doc_id").alias("least"))
+    return own, found, written(spark, least, "copies")
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, with_text: bool = False, max_bloom: int = MAX_BLOOM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay, for documents that lose some)."""
     spark = docs.sparkSession
-    slim = docs.select("doc_id", "text")
-    ends = anchor_rows(slim, window, period).groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = written(spark, ends.where("low < high").select("h"), "anchors")
+    slim, twice, maybe = copies_apart(docs.select("doc_id", "text"))
+    firsts = maybe.where("doc_id = least").select("doc_id", "text")
+    repeated = not slim.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    counts = anchor_hashes(slim, window, period, twice).unionByName(anchor_hashes(firsts, window, period)).groupBy("h").agg(F.count("*").alias("c"))
+    shared = written(spark, counts.where("c > 1").select("h"), "anchors")
     n = shared.count()
     if n <= max_bloom:
-        bits = min(27, max(16, (8 * n).bit_length()))
-        found = parted(slim, window, period, Bloom.of(shared, "h", bits))
+        known = Bloom.of(shared, "h", min(27, max(16, (8 * n).bit_length())))
+        found = parted(slim, window, period, known, twice, repeated).unionByName(parted(firsts, window, period, known, None, repeated))
     else:
-        places = anchor_rows(slim, window, period).join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("_anchors"))
-        found = parted(slim.join(places, "doc_id", "left"), window, period, None)
+        rows = anchor_rows(slim, window, period, twice).unionByName(anchor_rows(firsts, window, period))
+        places = rows.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("_anchors"))
+        found = parted(slim.join(places, "doc_id", "left"), window, period, None, twice).unionByName(parted(firsts.join(places, "doc_id", "left"), window, period, None))
     found = written(spark, found, "windows")
-    own = found.where(f"part = {WINDOW_ROW}").select("h", "h2", "doc_id", "t", "place")
-    first = own.groupBy("h", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "h2", "low")
-    repeats = own.join(first, ["h", "h2"]).where("doc_id > low").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
+    own = found.where(f"part = {WINDOW_ROW}").select("h", "doc_id", "t", "place")
+    first = written(spark, own.groupBy("h").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("h", "low"), "shared-windows")
+    wanted = Bloom.of(first, "h", min(27, max(16, (8 * first.count()).bit_length())), 1)
+    repeats = only(own, wanted).join(first, "h").where("doc_id > low").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
     texts = found.where(f"part = {TEXT}").select("doc_id", "t", "text")
     rest = cut(texts.join(repeats, ["doc_id", "t"], "left"), window, with_text)
-    done = found.where(f"part = {DONE}").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256", *[F.lit(None).cast("string").alias("kept")] * with_text)
-    return done.unionByName(rest)
+    more = [F.lit(None).cast("string").alias("kept")] * with_text
+    done = found.where(f"part = {DONE}").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256", *more)
+    # A copy loses all its words, or if it has no window, none.
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    whole = maybe.where("doc_id > least").select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("all"))
+    gone = F.col("n_words") >= window
+    kept = F.when(gone, "").otherwise(F.col("all"))
+    copies = whole.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("bigint").alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"), *[kept.alias("kept")] * with_text)
+    return done.unionByName(rest).unionByName(copies)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
