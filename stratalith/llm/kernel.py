@@ -15,7 +15,7 @@ BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = np.array([b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 #: A-Z to a-z.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_STEP = 1 << 20
+_STEP = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about limit bytes of text; one longer text is a run of its own."""
     _, at = utf8(batch.column(text))
     i = 0
