@@ -35,7 +35,7 @@ KNOWN = 1 << 18
 STEPS, LANES, RATE = 16, 1024, 0.3
 #: Logits are cut at this, so that no sum of exponentials overflows.
 TOP = 60.0
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_200_000
 #: A lane is at least about so long, so that little data still makes many steps.
 LANE_TOKENS = 2048
 FOLDS, HELD = 7, 2
@@ -263,13 +263,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 32 << 20):
+            for part in slices(batch, "text", 16 << 20):
                 tokens, n = np.unique(Words(part.column("text"), lower=True).hashes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "c"])
 
     return docs.select("text").mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """The tokens from the least count on of which no more than so many have it, by falling count. No task gets them all."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    left, least = most, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 16 * 64 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    got = counts.where(step >= least) if least is not None else counts.limit(0)
+    return got.toArrow().sort_by([("c", "descending"), ("token", "ascending")])
+
+
 def trained(docs: DataFrame, v: Vocabulary) -> Network:
     """The average of the networks that tasks trained, weighted by their tokens."""
     network = Network(v)
@@ -303,7 +316,7 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = written(spark, word_counts(learn), "counts")
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()  # a fixed number of rows
+    top = most_frequent(counts, KNOWN)
     v = Vocabulary(top["token"].to_numpy().view(np.uint64), top["c"].to_numpy(), total + ends, distinct + (ends > 0), ends)
     sent = spark.sparkContext.broadcast((trained(learn, v), ends))
 

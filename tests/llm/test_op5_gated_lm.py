@@ -35,7 +35,7 @@ def check(docs, texts):
     return got
 
 
-@pytest.mark.parametrize("known", [1 << 18, 40])
+@pytest.mark.parametrize("known", [1 << 18, 40, 0])
 def test_documents(spark, monkeypatch, known):
     monkeypatch.setattr(gated_lm, "KNOWN", known)
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
