@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from .shared import table
 
 #: The contractions that the pattern of the vocabulary splits off.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-MAX_CACHED = 250_000
+#: Pieces and pairs of tokens whose answers a worker keeps.
+MAX_PIECES, MAX_PAIRS = 150_000, 300_000
 
 
 def vocabulary_path() -> str:
@@ -41,10 +43,28 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Kept(dict):
+    """Answers for the pieces asked last: the younger half, and the older half as it was when the younger one was full."""
+
+    def __init__(self, answer):
+        super().__init__()
+        self.answer, self.old = answer, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.answer(piece)
+        if len(self) >= MAX_PIECES // 2:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = got
+        return got
+
+
 class Codec:
     def __init__(self, path: str):
         import ahocorasick
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.load(open(path, encoding="utf-8"))
         self.symbols = byte_symbols()
@@ -67,6 +87,7 @@ class Codec:
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = {i: next((self.id_of[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.id_of), -1) for i, b in self.bytes_of.items()}
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
         top = max([*self.bytes_of, *self.special.values()]) + 1
         pieces = [self.bytes_of.get(i, b"") for i in range(top)]
         for s, i in self.special.items():
@@ -74,11 +95,14 @@ class Codec:
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))
         self.table = np.frombuffer(b"".join(pieces), np.uint8)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.packed: dict[str, bytes] = {}
-        self.decimal: dict[str, str] = {}
+        self.fits: dict[int, bool] = {}
+        self.packed = Kept(lambda piece: array("i", self.encode_piece(piece.encode("utf-8", "surrogateescape"))).tobytes())
+        self.decimal = list(map(str, range(top)))
         self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.library = Tokenizer.from_file(path).pre_tokenizer
+        split = spec["pre_tokenizer"]
+        if split["type"] != "ByteLevel" or spec["normalizer"]:
+            raise ValueError(f"{path} is not a byte-level vocabulary without normaliser")
+        self.library = ByteLevel(add_prefix_space=split["add_prefix_space"], use_regex=split["use_regex"])
         self.pattern, self.plain = self._pattern()
 
     def _pattern(self):
@@ -103,11 +127,12 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges give a then b for the bytes of both: they never join what lies on both sides of the border."""
-        known = self.fits.get((a, b))
+        key = a << 32 | b
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= MAX_PAIRS:
                 self.fits.clear()
-            known = self.fits[a, b] = self._compatible(a, b)
+            known = self.fits[key] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -129,72 +154,47 @@ class Codec:
         whole = self.id_of.get(data)
         if whole is not None:
             return [whole]
-        text = data.decode("latin-1")
-        greedy = [i for _, i in self.automaton.iter_long(text)]
-        if all(map(self.compatible, greedy, greedy[1:])):
-            return greedy
-        longest: list[int] = [-1] * len(data)
-        size = [0] * len(data)
-        for end, i in self.automaton.iter(text):
-            n = len(self.bytes_of[i])
-            if n > size[end - n + 1]:
-                size[end - n + 1], longest[end - n + 1] = n, i
+        text, n, fits, long = data.decode("latin-1"), len(data), self.fits, self.automaton.iter_long
         out: list[int] = []
-        open_ends = bytearray(b"\x01") * (len(data) + 1)
-        at, i = 0, longest[0]
-        while at < len(data):
+        greedy = long(text)  # the longest token at each border, as long as each is taken
+        last = at = 0
+        for end, i in greedy:
+            if out and not (fits.get(last << 32 | i) or self.compatible(last, i)):
+                break
+            out.append(i)
+            last, at = i, end + 1
+        else:
+            return out
+        size, shorter, closed = self.size, self.shorter, bytearray(n + 1)
+        while at < n:
             while i >= 0:
-                end = at + len(self.bytes_of[i])
-                if open_ends[end] and (not out or self.compatible(out[-1], i)):
+                end = at + size[i]
+                if not closed[end] and (not out or fits.get(out[-1] << 32 | i) or self.compatible(out[-1], i)):
                     break
-                i = self.shorter[i]
+                i = shorter[i]
             if i >= 0:
                 out.append(i)
                 at = end
-                i = longest[at] if at < len(data) else -1
+                if at < n:
+                    i = next(long(text, at))[1]
             else:
-                open_ends[at] = 0
+                closed[at] = 1
                 i = out.pop()
-                at -= len(self.bytes_of[i])
-                i = self.shorter[i]
+                at -= size[i]
+                i = shorter[i]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        for p in pieces:
-            if p not in self.packed:
-                if len(self.packed) >= MAX_CACHED:
-                    self.packed.clear()
-                    self.decimal.clear()
-                    return self._learn(pieces) if len(set(pieces)) < MAX_CACHED else self._learn_all(pieces)
-                self._keep(p)
-        return None
-
-    def _learn_all(self, pieces: list[str]) -> None:
-        for p in set(pieces):
-            self._keep(p)
-
-    def _keep(self, p: str) -> None:
-        ids = self.encode_piece(p.encode("utf-8", "surrogateescape"))
-        self.packed[p] = np.array(ids, np.int32).tobytes()
-        self.decimal[p] = ",".join(map(str, ids))
-
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, as an array and in decimal."""
         parts = self.splitter.split(text) if self.splitter and "<" in text else [text]
-        packed, decimal = [], []
+        packed = []
         for n, part in enumerate(parts):
             if n % 2:
-                packed.append(np.array([self.special[part]], np.int32).tobytes())
-                decimal.append(str(self.special[part]))
+                packed.append(array("i", [self.special[part]]).tobytes())
             elif part:
-                pieces = self.pieces(part)
-                try:
-                    packed.append(b"".join(map(self.packed.__getitem__, pieces)))
-                except KeyError:
-                    self._learn(pieces)
-                    packed.append(b"".join(map(self.packed.__getitem__, pieces)))
-                decimal.append(",".join(map(self.decimal.__getitem__, pieces)))
-        return np.frombuffer(b"".join(packed), np.int32), ",".join(decimal)
+                packed += map(self.packed.__getitem__, self.pieces(part))
+        ids = np.frombuffer(b"".join(packed), np.int32)
+        return ids, ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids: place k of the result is taken from the table at its token's offset."""
@@ -223,6 +223,12 @@ def tokens(docs: DataFrame, path: str | None = None, text: bool = True) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        try:
+            yield from encoded(own, batches)
+        finally:
+            _CODECS.clear()  # an idle worker holds no vocabulary
+
+    def encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)

@@ -154,7 +154,7 @@ def planned(docs: DataFrame, n: int, percent: int) -> Plan:
     counts = written(spark, counts.where(F.col("c") > 1), "tokens")
     total = counts.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") <= HEAVY, F.col("c") * F.col("c"))).alias("scans"), *[F.sum((F.col("c") > HEAVY * 4**i).cast("bigint")).alias(f"over{i}") for i in range(12)]).first()
     level = next((i for i in range(12) if (total[f"over{i}"] or 0) <= MAX_HEAVY), 11)
-    heavy = counts.where(F.col("c") > HEAVY * 4**level).select("token").limit(MAX_HEAVY).toArrow()["token"].to_numpy().view(np.uint64)
+    heavy = counts.where(F.col("c") > HEAVY * 4**level).select("token").toArrow()["token"].to_numpy().view(np.uint64)
     mean = (total["scans"] or 0) / max(1, total["all"] or 0)
     # A set with a prefix of p tokens has (p + 1) p / 2 subsets, or p entries on lists with about mean others each.
     boundary, size = 0, 1

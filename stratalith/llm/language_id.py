@@ -24,7 +24,7 @@ from .shared import table
 
 LOG2_FEATURES = 13
 GRAMS = (1, 2, 3, 4)
-MAX_SAMPLE = 2400
+MAX_SAMPLE = 1600
 FOLDS, HELD = 5, 0
 CHUNK = 1 << 18
 #: Families of languages by ISO 639-1 code. A language not listed is a family of its own.
@@ -82,14 +82,14 @@ def vector(text: str) -> np.ndarray:
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and offset that minimise |w|^2 / 2 + c * mean(max(0, 1 - y (xw + b))^2), classes weighted alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    norm = max(1e-12, float((x.astype(np.float64) ** 2).sum(1).max()))
+    w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
+    norm = max(1e-12, float(np.einsum("ij,ij->i", x, x).max()))
     rate = 1.0 / (1.0 + 2 * c * (norm + 1.0))
     for t in range(steps):
-        m = np.maximum(0.0, 1.0 - y * (x @ vw + vb)) * y * weight
+        m = (np.maximum(0.0, 1.0 - y * (x @ vw + vb)) * y * weight).astype(np.float32)
         gw, gb = vw - 2 * c * (m @ x), -2 * c * m.sum()
-        nw, nb = vw - rate * gw, vb - rate * gb
-        k = t / (t + 3.0)
+        nw, nb = vw - np.float32(rate) * gw, vb - rate * gb
+        k = np.float32(t / (t + 3.0))
         vw, vb, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
     return w, b
 
@@ -101,9 +101,10 @@ class Model:
         self.families: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             self.families.setdefault(family(lang), []).append(lang)
-        scale = np.sqrt((x.astype(np.float64) ** 2).mean(0)) + 1e-4  # rare grams weigh as much as common ones
-        scale *= max(1e-12, float(np.sqrt(((x / scale) ** 2).sum(1)).mean())) if len(x) else 1.0
-        x = x / scale  # rows of a mean length of 1
+        scale = np.sqrt(np.einsum("ij,ij->j", x, x) / max(1, len(x))) + np.float32(1e-4)  # rare grams weigh as much as common ones
+        x = x / scale
+        mean = np.float32(max(1e-12, np.sqrt(np.einsum("ij,ij->i", x, x)).mean())) if len(x) else np.float32(1)
+        scale, x = scale * mean, x / mean  # rows of a mean length of 1
         labels, kin = np.array(langs), np.array([family(v) for v in langs])
         self.pairs: list[tuple[str, str]] = []
         columns, offsets = [], []

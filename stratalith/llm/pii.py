@@ -190,8 +190,11 @@ FOUND = "array<struct<start:bigint,end:bigint,kind:string,whole:boolean>>"
 ORDER = {k: i for i, k in enumerate((*KINDS, "term"))}
 
 
-def spans(docs: DataFrame, **limits) -> DataFrame:
-    """docs with _spans: start, end (code points), kind (email, ip, card, phone, term), whole (all of IC: remove it)."""
+def spans(docs: DataFrame, replace: bool = False, **limits) -> DataFrame:
+    """docs with _spans: start, end (code points), kind (email, ip, card, phone, term), whole (all of IC: remove it).
+
+    With replace the texts are sanitised in the same pass.
+    """
     spark = docs.sparkSession
     found = written(spark, disclosing(docs, **limits), "pii-terms")
     n = max(1, -(-found.count() // BLOCK_PAIRS))
@@ -200,18 +203,33 @@ def spans(docs: DataFrame, **limits) -> DataFrame:
         got = found.where(F.pmod("entity", F.lit(n)) == k).orderBy("entity", "term").toArrow()  # about BLOCK_PAIRS rows
         block = spark.sparkContext.broadcast(tuple(got[c].to_numpy() for c in ("entity", "term", "ratio")))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, first=k == 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block=block, first=k == 0, last=k == n - 1) -> Iterator[pa.RecordBatch]:
             entities, terms, ratios = block.value
             at = {int(e): (int(i), int(i + c)) for e, i, c in zip(*np.unique(entities, return_index=True, return_counts=True), strict=True)}
             for batch in batches:
                 lists = [marked(v.as_py() or "", at, terms, ratios, [] if first else old.as_py()) for v, old in zip(batch.column("text"), batch.column("_spans"), strict=True)]
-                column = pa.array(lists, batch.schema.field("_spans").type)
-                yield pa.RecordBatch.from_arrays([column if n == "_spans" else batch.column(n) for n in batch.schema.names], schema=batch.schema)
+                put = {"_spans": pa.array(lists, batch.schema.field("_spans").type)}
+                if replace and last:
+                    texts = [replaced(v.as_py(), marks) if marks else v.as_py() for v, marks in zip(batch.column("text"), lists, strict=True)]
+                    put["text"] = pa.array(texts, batch.schema.field("text").type)
+                yield pa.RecordBatch.from_arrays([put.get(n, batch.column(n)) for n in batch.schema.names], schema=batch.schema)
 
         out = out.mapInArrow(run, out.schema)
     return out
 
 
+def replaced(text: str, marks: list[dict]) -> str:
+    out, done = [], 0
+    for x in marks:
+        a, b = max(x["start"], done), x["end"]
+        if a >= b:
+            continue  # inside a span before it
+        word = f"[{x['kind'].upper()}]" if x["kind"] != "term" else "" if x["whole"] else generalised(text[a:b])
+        out += [text[done:a], word]
+        done = b
+    return "".join(out) + text[done:]
+
+
 def marked(text: str, at: dict, terms: np.ndarray, ratios: np.ndarray, old: list[dict]) -> list[dict]:
     base = base_spans(text)
     out = {(a, b, KINDS[k]): False for a, b, k in base} | {(x["start"], x["end"], x["kind"]): x["whole"] for x in old}
@@ -242,27 +260,7 @@ def generalised(word: str) -> str:
 
 def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """docs with each value replaced by its kind, each term that tells all removed and other disclosing terms generalised."""
-    found, names = spans(docs, **limits), docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for value, marks in zip(batch.column("text"), batch.column("_spans"), strict=True):
-                if not len(marks.values or ()):
-                    texts.append(value.as_py())
-                    continue
-                text, out, done = value.as_py(), [], 0
-                for x in marks.as_py():
-                    a, b = max(x["start"], done), x["end"]
-                    if a >= b:
-                        continue  # inside a span before it
-                    word = f"[{x['kind'].upper()}]" if x["kind"] != "term" else "" if x["whole"] else generalised(text[a:b])
-                    out += [text[done:a], word]
-                    done = b
-                texts.append("".join(out) + text[done:])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], schema=pa.schema([batch.schema.field(n) if n != "text" else pa.field("text", pa.string()) for n in names]))
-
-    return found.mapInArrow(run, docs.schema)
+    return spans(docs, replace=True, **limits).select(*docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
