@@ -62,7 +62,7 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     shrunk = hosts.withColumn("prior", prior.scalar()).select("source", (F.col("bad") + F.col("prior.a")).alias("a"), (F.col("n") - F.col("bad") + F.col("prior.b")).alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     spread = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    verdicts = shrunk.select("source", mean.alias("host_rate"), (mean - 2 * spread > max_rate).alias("refused"))
+    verdicts = shrunk.select("source", F.round(mean, 9).alias("host_rate"), (mean - 2 * spread > max_rate).alias("refused"))
     return own.join(verdicts, "source", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("refused", F.lit(False))).alias("kept"), "host_rate"
     )

@@ -8,6 +8,7 @@ from .gated_lm import op5_gated_lm
 from .host_quality import op3_host_quality
 from .jaccard_join import op7_jaccard_join
 from .language_id import op1_language_id
+from .oracle import ORACLE_SQL  # noqa: F401
 from .pii import op6_pii
 from .ring_sharding import op9_ring_sharding
 from .substring_dedup import op4_substring_dedup
@@ -28,5 +29,3 @@ QUERIES = {
         op10_warc,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
