@@ -2,14 +2,14 @@
 
 Values (emails, IP addresses, cards, phones) are found by pattern. Each value is a protected entity e. Terms t (words) near it
 are counted over the corpus; PMI(t; e) = log2(p(t, e) / (p(t) p(e))) says how much of e's information IC(e) = -log2 p(e) a
-reader of t learns. A term with PMI >= disclosure * IC that stands near e in at least min_support different contexts (copies
-of a context count once) is a disclosing term: it is marked in every document that holds e, and removed where it gives away
-all of IC, else generalised to its kind. Probabilities are over documents; all documents are counted.
+reader of t learns. A term with PMI >= disclosure * IC that stands near e in at least min_support different texts (copies of a
+text count once for this) is a disclosing term: it is marked in every document that holds e, and removed where it gives away
+all of IC, else generalised to its kind. Probabilities are over documents; all documents are counted, copies too.
 
 Pairs of entity and term come only from the words around a value, so they are linear in the values found. Counts of terms are
 pre-aggregated where documents are read. The pairs that disclose go out in blocks of a fixed number of rows.
 
-Nulls: a null text has no spans. Equal rows count as documents each, but as one context. Empty table: empty result. Extra
+Nulls: a null text has no spans. Equal rows count as documents each, but as one text. Empty table: empty result. Extra
 columns are ignored by spans() and kept by sanitise().
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Words, mixed, slices
+from .kernel import Words, slices
 from .shared import Bloom, table, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -109,8 +109,12 @@ class Terms:
         return out
 
 
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def near(docs: DataFrame, around: int) -> DataFrame:
-    """entity, term, context: the words around each value."""
+    """entity, term, copy (a hash of the text): the words around each value, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,20 +126,20 @@ def near(docs: DataFrame, around: int) -> DataFrame:
                     continue
                 terms = Terms(text)
                 free = terms.free(found)
+                own: dict[int, list[np.ndarray]] = {}
                 for a, b, kind in found:
                     i, j = np.searchsorted(terms.starts, a), np.searchsorted(terms.starts, b)
-                    own = np.concatenate((np.flatnonzero(free[:i])[-around:], j + np.flatnonzero(free[j : j + 4 * around])[:around]))
-                    if len(own):
-                        hashes = terms.hashes[own]
-                        context = mixed(np.array([np.bitwise_xor.reduce(mixed(hashes + np.arange(1, len(own) + 1, dtype=np.uint64)))]))
-                        hashes = np.unique(hashes)
-                        e.append(np.full(len(hashes), entity(kind, text[a:b])))
-                        t.append(hashes.view(np.int64))
-                        c.append(np.full(len(hashes), context.view(np.int64)[0]))
+                    own.setdefault(entity(kind, text[a:b]), []).extend((np.flatnonzero(free[:i])[-around:], j + np.flatnonzero(free[j : j + 4 * around])[:around]))
+                copy = text_hash(text)
+                for k, places in own.items():
+                    hashes = np.unique(terms.hashes[np.concatenate(places)])
+                    e.append(np.full(len(hashes), k))
+                    t.append(hashes.view(np.int64))
+                    c.append(np.full(len(hashes), copy))
             if e:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (e, t, c)], ["entity", "term", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (e, t, c)], ["entity", "term", "copy"])
 
-    return docs.select("text").mapInArrow(run, "entity bigint, term bigint, context bigint")
+    return docs.select("text").mapInArrow(run, "entity bigint, term bigint, copy bigint")
 
 
 def document_counts(docs: DataFrame, wanted: Bloom) -> DataFrame:
@@ -171,16 +175,15 @@ def entity_counts(docs: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, around: int = AROUND, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term, ratio (PMI / IC, at most 1) of the pairs at or above the threshold."""
     spark = docs.sparkSession
-    pairs = near(docs, around).distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+    pairs = near(docs, around).groupBy("entity", "term", "copy").agg(F.count("*").alias("c"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("c").alias("together"), F.count("*").alias("support")).where(F.col("support") >= min_support)
     pairs = written(spark, pairs, "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(1.0).alias("ratio"))
     total = docs.count()
     terms = document_counts(docs, Bloom.of(pairs.select("term").distinct(), "term", 22))
     counted = pairs.join(terms, "term").join(entity_counts(docs), "entity")
-    # p(t, e) is at most the share of the documents that hold both; contexts stand for documents, copies aside.
-    together = F.least(F.col("n"), F.col("n_entity"), F.greatest(F.col("support"), F.lit(1)))
-    pmi = F.log2(together * total / (F.col("n") * F.col("n_entity")))
+    pmi = F.log2(F.col("together") * total / (F.col("n") * F.col("n_entity")))
     ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
     ratio = F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(0.0)
     return counted.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= disclosure)

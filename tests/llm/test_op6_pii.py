@@ -77,6 +77,24 @@ def test_terms_that_tell_an_entity_are_marked_and_others_are_not(spark):
     assert disclosing(docs).where("ratio > 1 or ratio < 0.9").count() == 0
 
 
+def marked_terms(docs, texts):
+    rows = {r["doc_id"]: r["spans"] for r in report(docs).collect()}
+    return [{x[int(a) : int(b)] for k, a, b in (s.split(":") for s in rows[i].split(",") if s) if k == "term"} for i, x in enumerate(texts)]
+
+
+def test_joint_counts_are_documents(spark):
+    rnd = random.Random(3)
+    some = lambda n: " ".join(rnd.choices([f"w{i}" for i in range(300)], k=n))
+    block = "kind regards from all of us here at Ödön Quine o@q.example or call the desk at any time you like"
+    texts = [f"{some(9)} {block} {some(9)}" for _ in range(12)]  # one block of words in different documents
+    worded = [f"{some(12)} Zsófia z@q.example {some(12)}" for _ in range(5)]
+    texts += worded + worded[:1] * 40  # and copies of one of five
+    texts += [some(20) for _ in range(1500)]
+    got = marked_terms(frame(spark, texts), texts)
+    assert all({"Ödön", "Quine"} <= x for x in got[:12])
+    assert all("Zsófia" in x for x in got[12:57]) and not any(got[57:])
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs, _ = told(spark)
     want = sorted(map(tuple, report(docs).collect()))
