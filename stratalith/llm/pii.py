@@ -1,13 +1,15 @@
 """Personal data: values found by pattern, and terms that give such values away, by what the corpus says.
 
-Values (emails, IP addresses, cards, phones) are found by pattern. Each value is a protected entity e. Terms t (words) near it
-are counted over the corpus; PMI(t; e) = log2(p(t, e) / (p(t) p(e))) says how much of e's information IC(e) = -log2 p(e) a
-reader of t learns. A term with PMI >= disclosure * IC that stands near e in at least min_support different texts (copies of a
-text count once for this) is a disclosing term: it is marked in every document that holds e, and removed where it gives away
+Values (emails, IP addresses, cards, phones) are found by pattern. Each value is a protected entity e. Terms t (words) of the
+documents that hold it, wherever they stand, are counted over the corpus; PMI(t; e) = log2(p(t, e) / (p(t) p(e))) says how much of e's information IC(e) = -log2 p(e) a
+reader of t learns. A term with PMI >= disclosure * IC that stands with e in at least min_support different texts (copies of
+a text count once for this) is a disclosing term: it is marked in every document that holds e, and removed where it gives away
 all of IC, else generalised to its kind. Probabilities are over documents; all documents are counted, copies too.
 
-Pairs of entity and term come only from the words around a value, so they are linear in the values found. Counts of terms are
-pre-aggregated where documents are read. The pairs that disclose go out in blocks of a fixed number of rows.
+Only values in min_support texts or more can have such terms, and only terms in min_support to N^(1 - disclosure) n(e)^disclosure
+documents can reach the threshold. Both bounds are applied where documents are read, with the counts of the KNOWN most frequent
+values and terms (a fixed number; all others are in at most so many documents as the least of these); what passes is counted
+exactly. All counts are pre-aggregated there. The pairs that disclose go out in blocks of a fixed number of rows.
 
 Nulls: a null text has no spans. Equal rows count as documents each, but as one text. Empty table: empty result. Extra
 columns are ignored by spans() and kept by sanitise().
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Words, slices
+from .gated_lm import most_frequent
+from .kernel import Lookup, Words, slices
 from .shared import Bloom, table, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,7 +40,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 
-AROUND, MIN_SUPPORT, DISCLOSURE = 8, 3, 0.9
+MIN_SUPPORT, DISCLOSURE = 3, 0.9
+#: Of so many of the most frequent values and terms each task knows the counts.
+KNOWN = 1 << 18
+#: Pairs of values and terms that leave a task at once.
+PAIRS_AT_ONCE = 1 << 17
 BLOCK_PAIRS = 1_000_000
 
 
@@ -113,76 +120,116 @@ def text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def near(docs: DataFrame, around: int) -> DataFrame:
-    """entity, term, copy (a hash of the text): the words around each value, once a document."""
+def document_counts(docs: DataFrame) -> DataFrame:
+    """term, n: in how many documents each word stands. Counted for each run of rows before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e, t, c = [], [], []
-            for value in batch.column("text"):
-                text = value.as_py() or ""
-                found = base_spans(text)
-                if not found:
-                    continue
-                terms = Terms(text)
-                free = terms.free(found)
-                own: dict[int, list[np.ndarray]] = {}
-                for a, b, kind in found:
-                    i, j = np.searchsorted(terms.starts, a), np.searchsorted(terms.starts, b)
-                    own.setdefault(entity(kind, text[a:b]), []).extend((np.flatnonzero(free[:i])[-around:], j + np.flatnonzero(free[j : j + 4 * around])[:around]))
-                copy = text_hash(text)
-                for k, places in own.items():
-                    hashes = np.unique(terms.hashes[np.concatenate(places)])
-                    e.append(np.full(len(hashes), k))
-                    t.append(hashes.view(np.int64))
-                    c.append(np.full(len(hashes), copy))
-            if e:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (e, t, c)], ["entity", "term", "copy"])
+            for part in slices(batch, "text", 4 << 20):
+                words = Words(part.column("text"), lower=True)
+                hashes = words.hashes()
+                each = [np.unique(hashes[i:j]) for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+                terms, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "entity bigint, term bigint, copy bigint")
+    return docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def document_counts(docs: DataFrame, wanted: Bloom) -> DataFrame:
-    """term, n: in how many documents each wanted term stands. Counted for each run of rows before it is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def entity_counts(docs: DataFrame) -> DataFrame:
+    """entity, copy (a hash of a text that holds it), c: how many documents have this text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"), lower=True)
-                hashes = words.hashes()
-                some = np.flatnonzero(sent.value.has(hashes))
-                if not len(some):
-                    continue
-                both = np.unique(np.stack((words.row[some].astype(np.uint64), hashes[some])), axis=1)
-                terms, n = np.unique(both[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+            e, c = [], []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                own = {entity(k, text[a:b]) for a, b, k in base_spans(text)}
+                if own:
+                    e += own
+                    c += [text_hash(text)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(c, pa.int64())], ["entity", "copy"])
 
-    return docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "entity bigint, copy bigint").groupBy("entity", "copy").agg(F.count("*").alias("c"))
 
 
-def entity_counts(docs: DataFrame) -> DataFrame:
-    """entity, n: in how many documents each value stands."""
+class Counts:
+    """Counts of the KNOWN most frequent keys; of any other key a count that it does not exceed."""
+
+    def __init__(self, counts: DataFrame, key: str, most: int):
+        top = most_frequent(counts.select(F.col(key).alias("token"), F.col("n").alias("c")), most)
+        self.lookup, self.n = Lookup(top["token"].to_numpy().view(np.uint64)), top["c"].to_numpy()
+        self.rest = int(self.n.min()) if top.num_rows else counts.agg(F.max("n")).first()[0] or 0
+
+    def at_most(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.lookup.find(hashes)
+        return np.where(at >= 0, self.n[np.maximum(at, 0)], self.rest) if len(self.n) else np.full(len(hashes), self.rest)
+
+    def at_least(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts, 0 for keys that are not known."""
+        at = self.lookup.find(hashes)
+        return np.where(at >= 0, self.n[np.maximum(at, 0)], 0) if len(self.n) else np.zeros(len(hashes), np.int64)
+
+
+def together(docs: DataFrame, values: Counts, held: Bloom, terms: Counts, copied: Bloom, total: int, disclosure: float) -> DataFrame:
+    """entity, term, copy (a hash of the text if it may be there twice): the pairs of each document that may reach the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast((values, held, terms, copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, held, terms, copied = sent.value
+        e, t, c, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)), pa.array(np.concatenate(t)), pa.concat_arrays(c)], ["entity", "term", "copy"])
+
         for batch in batches:
-            out = [e for v in batch.column("text") if v.is_valid for e in {entity(k, v.as_py()[a:b]) for a, b, k in base_spans(v.as_py())}]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["entity"])
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                found = base_spans(text)
+                own = np.array(sorted({entity(k, text[a:b]) for a, b, k in found}), np.int64)
+                own = own[held.has(own.view(np.uint64))]
+                if not len(own):
+                    continue
+                words = Terms(text)
+                hashes = np.unique(words.hashes[words.free(found)])
+                n = terms.at_least(hashes)
+                most = total ** (1 - disclosure) * values.at_most(own.view(np.uint64)).astype(np.float64) ** disclosure * (1 + 1e-9)
+                copy = text_hash(text)
+                is_copied = bool(copied.has(np.array([copy]).view(np.uint64))[0])
+                for k, bound in zip(own, most, strict=True):
+                    some = hashes[n <= bound].view(np.int64)
+                    e.append(np.full(len(some), k))
+                    t.append(some)
+                    c.append(pa.array(np.full(len(some), copy)) if is_copied else pa.nulls(len(some), pa.int64()))
+                    size += len(some)
+                    if size >= PAIRS_AT_ONCE:
+                        yield out()
+                        e, t, c, size = [], [], [], 0
+        if size:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "entity bigint, term bigint, copy bigint")
+
 
-    return docs.select("text").mapInArrow(run, "entity bigint").groupBy("entity").agg(F.count("*").alias("n_entity"))
+def sized(keys: DataFrame, column: str) -> Bloom:
+    return Bloom.of(keys, column, min(27, max(16, (16 * keys.count()).bit_length())))
 
 
-def disclosing(docs: DataFrame, around: int = AROUND, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term, ratio (PMI / IC, at most 1) of the pairs at or above the threshold."""
     spark = docs.sparkSession
-    pairs = near(docs, around).groupBy("entity", "term", "copy").agg(F.count("*").alias("c"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("c").alias("together"), F.count("*").alias("support")).where(F.col("support") >= min_support)
-    pairs = written(spark, pairs, "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(1.0).alias("ratio"))
+    each = written(spark, entity_counts(docs), "pii-values")
+    values = each.groupBy("entity").agg(F.sum("c").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= min_support).select("entity", "n")
+    values = written(spark, values, "pii-entities")
+    if values.isEmpty():
+        return values.select("entity", F.col("n").alias("term"), F.lit(1.0).alias("ratio"))
     total = docs.count()
-    terms = document_counts(docs, Bloom.of(pairs.select("term").distinct(), "term", 22))
-    counted = pairs.join(terms, "term").join(entity_counts(docs), "entity")
+    terms = written(spark, document_counts(docs).where(F.col("n") >= min_support), "pii-counts")
+    copied = each.where("c > 1").select("copy").distinct()
+    rows = together(docs, Counts(values, "entity", KNOWN), sized(values, "entity"), Counts(terms, "term", KNOWN), sized(copied, "copy"), total, disclosure)
+    # A text that is there once stands for one row; copies of a text are one group and one text.
+    pairs = rows.groupBy("entity", "term", "copy").agg(F.count("*").alias("c"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("c").alias("together"), F.sum(F.when(F.col("copy").isNull(), F.col("c")).otherwise(1)).alias("support"))
+    counted = pairs.where(F.col("support") >= min_support).join(terms, "term").join(values.withColumnRenamed("n", "n_entity"), "entity")
     pmi = F.log2(F.col("together") * total / (F.col("n") * F.col("n_entity")))
     ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
     ratio = F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(0.0)

@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
+import pytest
 from conftest import frame
-from stratalith.llm.pii import KINDS, base_spans, disclosing, luhn, report, sanitise
+from stratalith.llm.pii import KINDS, base_spans, disclosing, entity, luhn, report, sanitise
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -95,6 +98,44 @@ def test_joint_counts_are_documents(spark):
     assert all("Zsófia" in x for x in got[12:57]) and not any(got[57:])
 
 
+@pytest.mark.parametrize("known", [1 << 18, 0])
+def test_terms_far_from_a_value_are_found(spark, monkeypatch, known):
+    monkeypatch.setattr("stratalith.llm.pii.KNOWN", known)
+    rnd = random.Random(4)
+    some = lambda n: " ".join(rnd.choices([f"w{i}" for i in range(300)], k=n))
+    texts = [f"Ilka {some(30)} i@q.example 10.1.2.3 {some(60)} Pálfi" for _ in range(6)] + [some(20) for _ in range(1500)]
+    got = marked_terms(frame(spark, texts), texts)
+    assert all(x == {"Ilka", "Pálfi"} for x in got[:6]) and not any(got[6:])
+
+
+def plain_pairs(texts, min_support=3, disclosure=0.9):
+    """Of each value and word of the texts the ratio, if it reaches the threshold."""
+    with_word, with_value = defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        for w in (text or "").lower().split():
+            with_word[w].add(i)
+        for a, b, k in brute(text):
+            with_value[entity(k, text[a:b])].add(i)
+    out = Counter()
+    for e, x in with_value.items():
+        for w, y in with_word.items():
+            both = {i for i in x & y if w in "".join(" " if any(a <= j < b for a, b, _ in brute(texts[i])) else c for j, c in enumerate(texts[i].lower())).split()}
+            ic = math.log2(len(texts) / len(x))
+            if len({texts[i] for i in both}) >= min_support and ic > 0 and math.log2(len(both) * len(texts) / len(x) / len(y)) >= disclosure * ic - 1e-9:
+                out[e] += 1
+    return out
+
+
+def test_pairs_equal_plain_counts(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(400)] + [f"e{i}@q.example" for i in range(25)]
+    texts = [" ".join(rnd.choices(words[:400], k=rnd.randrange(1, 25)) + rnd.choices(words[400:], k=rnd.randrange(0, 2)) + rnd.choices(words[:400], k=3)) for _ in range(300)]
+    texts += [f"{rnd.choice(words[:400])} n{i % 9} x e{i % 9}@q.example" for i in range(60)]
+    texts += texts[300:310] * 6 + [None, ""]
+    got = Counter(r["entity"] for r in disclosing(frame(spark, texts)).collect())
+    assert got == plain_pairs(texts) and got
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs, _ = told(spark)
     want = sorted(map(tuple, report(docs).collect()))
