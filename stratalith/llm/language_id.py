@@ -212,8 +212,16 @@ def predict(docs: DataFrame, max_rows: int = MAX_SAMPLE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, max_rows: int = MAX_SAMPLE) -> DataFrame:
-    """docs whose language can be told: those of 'und' go."""
-    return with_language(docs, fit(docs, max_rows)).where("_lang <> 'und'").select(*docs.columns)
+    """docs whose language can be told: those of 'und' go, which are the texts without a letter. Without labels all others stay."""
+    model = fit(docs, max_rows)
+    if model.families:
+        return with_language(docs, model).where("_lang <> 'und'").select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(v.as_py()) for v in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def test_no_labels_and_empty_table(spark, empty):
     assert {r["lang_pred"] for r in predict(none).collect()} == {"und"}
 
 
+def test_no_labels_keep_texts_with_letters(spark):
+    none = frame(spark, ["some words", None, "12 34", "été"]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in keep_known(none).collect()} == {0, 3}
+
+
 def test_a_family_of_its_own_for_languages_not_listed(spark):
     texts = ["xq zx qq xz " * 5, "the and of to " * 5, "der die und das " * 5] * 40
     langs = ["qx", "en", "de"] * 40
