@@ -153,7 +153,8 @@ def parted(docs: DataFrame, window: int, period: int, shared: Bloom | None, twic
                     hit = own.at[shared.has(own.anchors) & known[words.row[own.at]]]
                 else:
                     lists = part.column("_anchors")
-                    hit = np.concatenate([np.zeros(0, np.int64), *(words.first[i] + np.unique(x.values.to_numpy()) for i, x in enumerate(lists) if x.is_valid and len(x.values) and known[i])])
+                    # Rows that repeat a doc_id get each other's places: those beyond a row's words are not its own.
+                    hit = np.concatenate([np.zeros(0, np.int64), *(words.first[i] + (p := np.unique(x.values.to_numpy()))[p < words.counts[i]] for i, x in enumerate(lists) if x.is_valid and len(x.values) and known[i])])
                 at = own.windows_near(hit, window, period)
                 some = np.zeros(words.rows, bool)
                 some[words.row[at]] = True

@@ -52,6 +52,14 @@ def test_against_brute_force(spark, window, period, bloom):
     assert sorted(map(tuple, dedup(docs, window, period, max_bloom=bloom).collect()), key=str) == brute(ids, texts, window)
 
 
+@pytest.mark.parametrize("bloom", [10**7, 0])
+def test_unequal_texts_of_one_id(spark, bloom):
+    passage = " ".join(f"p{i}" for i in range(12))
+    ids, texts = [1, 2, 2], ["a " + passage, " ".join(f"f{i}" for i in range(90)) + " " + passage, "x y z"]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string").coalesce(1)
+    assert sorted(map(tuple, dedup(docs, 10, 7, max_bloom=bloom).collect()), key=str) == brute(ids, texts, 10)
+
+
 def test_edge_cases_and_documents(spark, edge, edge_texts):
     assert sorted(map(tuple, dedup(edge).collect()), key=str) == brute(range(len(edge_texts)), edge_texts, 50)
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
