@@ -286,8 +286,8 @@ def links(docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
     return dealt.join(sets, "k").groupBy("pivot", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def placed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, k (class), part (component, by its classes) of every row."""
     if percent <= 50:
         raise ValueError("percent must be above 50")
     spark = docs.sparkSession
@@ -297,20 +297,43 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     # The classes with links, each with the least doc_id of its component; others are a component alone.
     with_links = nodes.join(own, F.col("node") == F.col("k")).select("k", "component", "first")
     least = with_links.groupBy("component").agg(F.min("first").alias("least"))
-    far = with_links.join(least, "component").select("k", "least")
-    ends = own.join(far, "k", "left").select("k", F.coalesce("least", "first").alias("least"))
-    return keys.join(ends, (keys["k"] == ends["k"]) & (keys["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    far = with_links.join(least, "component").select("k", "component", "least")
+    ends = own.join(far, "k", "left").select(F.col("k").alias("end"), F.coalesce("least", "first").alias("least"), F.coalesce("component", "k").alias("part"))
+    rows = keys.join(ends, (F.col("k") == F.col("end")) & (F.col("n") > 0), "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "k", "part")
+
+
+def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return placed(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def with_class(docs: DataFrame, n: int) -> DataFrame:
+    """docs with _n (size of the set) and _k (its class)."""
+    out = docs.withColumns({"_n": F.lit(None).cast("bigint"), "_k": F.lit(None).cast("bigint")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, _ = token_sets(part.column("text"), n)
+                put = {"_n": pa.array([len(s) for s in sets], pa.int64()), "_k": pa.array([class_of(s) for s in sets], pa.int64())}
+                yield pa.RecordBatch.from_arrays([put.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
+
+    return out.mapInArrow(run, out.schema)
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the least doc_id. Rows without words stay."""
+    """docs with one row of each component: the one with the least doc_id, of rows that share it one of the least class; a row
+    without doc_id only where the component has no other. Rows without words stay."""
     spark = docs.sparkSession
-    found = written(spark, join(docs, n, percent), "components")
-    first = found.where("component_id <=> doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"))
-    if first.where("_rows > 1 and _n > 0 and doc_id is not null").isEmpty():
-        return docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    once = docs.join(first, "doc_id").where("_n > 0").drop("_rows", "_n").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.join(first.where("_n = 0"), "doc_id", "left_semi")).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = written(spark, placed(docs, n, percent), "components")
+    if found.where("doc_id is null and n_shingles > 0").isEmpty() and found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = found.where("component_id = doc_id").select("doc_id")
+        return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("x")).select(F.col("x.doc_id").alias("_first"), F.col("x.k").alias("_of"))
+    rows = with_class(docs, n)
+    once = rows.join(first, (F.col("_k") == F.col("_of")) & rows["doc_id"].eqNullSafe(F.col("_first"))).where("_n > 0").dropDuplicates(["_k"])
+    return once.select(*docs.columns).unionByName(rows.where("_n = 0").select(*docs.columns))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,13 @@ def test_keep_first(spark, empty):
     again = keep_first(docs.union(docs)).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in again} == want and all(r["count"] == (1 if texts[r["doc_id"]] else 2) for r in again)
     assert keep_first(empty).count() == 0 and join(empty).count() == 0
+
+
+def test_keep_first_of_null_and_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("a") + " end"), (4, text("b")), (None, text("b") + " end"), (7, text("c")), (7, text("d")), (3, text("d") + " end"), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, x, "clash") for i, x in rows], "doc_id bigint, text string, k string")
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_first(docs).collect()), key=str)
+    ends = [x for x in got if x[0] is None and x[1]]
+    assert len(ends) == 1 and ends[0][1] in (text("a"), text("a") + " end")
+    assert [x for x in got if x not in ends] == sorted([(4, text("b")), (7, text("c")), (3, text("d") + " end"), (7, None), (None, "")], key=str)
