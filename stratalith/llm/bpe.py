@@ -7,7 +7,9 @@ prefix of it, and steps back when none is left; a place once given up is never t
 Decoding gathers the bytes of all tokens from one table at computed offsets.
 
 Nulls: a null text is encoded as an empty one. Empty texts have no tokens. Repeated rows are encoded one by one; an empty
-table gives an empty result; extra columns are ignored. The text of a special token becomes that token, as in the library.
+table gives an empty result; extra columns are ignored. Long texts, with or without blanks, are encoded whole in linear time;
+the answers that a worker keeps are bounded in number and length. Ties: there is one sequence that the merges give. The text of
+a special token becomes that token, as in the library.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .kernel import released
 from .shared import table
 
 #: The contractions that the pattern of the vocabulary splits off.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Pieces and pairs of tokens whose answers a worker keeps.
-MAX_PIECES, MAX_PAIRS = 150_000, 300_000
+#: Pieces and pairs of tokens whose answers a worker keeps; a longer piece than KEPT_CHARS is not kept.
+MAX_PIECES, MAX_PAIRS, KEPT_CHARS = 150_000, 300_000, 48
 
 
 def vocabulary_path() -> str:
@@ -54,6 +57,8 @@ class Kept(dict):
         got = self.old.get(piece)
         if got is None:
             got = self.answer(piece)
+            if len(piece) > KEPT_CHARS:
+                return got
         if len(self) >= MAX_PIECES // 2:
             self.old = dict(self)
             self.clear()
@@ -99,6 +104,7 @@ class Codec:
         self.packed = Kept(lambda piece: array("i", self.encode_piece(piece.encode("utf-8", "surrogateescape"))).tobytes())
         self.decimal = list(map(str, range(top)))
         self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.marks = {s[0] for s in self.special}
         split = spec["pre_tokenizer"]
         if split["type"] != "ByteLevel" or spec["normalizer"]:
             raise ValueError(f"{path} is not a byte-level vocabulary without normaliser")
@@ -186,7 +192,7 @@ class Codec:
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, as an array and in decimal."""
-        parts = self.splitter.split(text) if self.splitter and "<" in text else [text]
+        parts = self.splitter.split(text) if any(m in text for m in self.marks) else [text]
         packed = []
         for n, part in enumerate(parts):
             if n % 2:
@@ -221,6 +227,7 @@ def tokens(docs: DataFrame, path: str | None = None, text: bool = True) -> DataF
     path = path or vocabulary_path()
     kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * text
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         try:

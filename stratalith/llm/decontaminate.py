@@ -5,16 +5,21 @@ suffix that occurs in some item: where it reaches the window's length, its words
 found when it is itself a suffix of the match. Only runs of words whose neighbouring pairs all occur in items are walked (no
 other place can hold a match); the pairs are found by numpy over whole batches. Documents are read once, without a shuffle.
 
-The items are broadcast in blocks of a fixed number of bytes; each block is one more pass over the documents.
+The items are taken in blocks of a fixed number of bytes. Each block's automaton is built once, on the driver, and broadcast as
+arrays; a worker keeps it from task to task. PASS_BLOCKS blocks are searched in one pass over the documents, in one function;
+what a pass found is written before the next one, so no more than that lies in memory however many items there are.
 
 Nulls: a null text has no words; a null item is no window; an item without an id counts as a window but not as an item.
-Equal items each count. Empty tables: no documents give no rows, no items give no hits. Extra columns are ignored (but kept
-by remove()).
+Equal items each count. Repeated rows are judged alike, one by one. Ties: overlapping hits are merged. Long texts are streamed
+whole. Empty tables: no documents give no rows, no items give no hits. Extra columns are ignored (but kept by remove(),
+whatever their names).
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import NOT_ALNUM, Words, slices
-from .shared import table
+from .kernel import NOT_ALNUM, Words, released, slices
+from .shared import fresh, table, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+PASS_BLOCKS = 8
 
 
 class Automaton:
@@ -40,7 +46,8 @@ class Automaton:
             ids = [self.words.setdefault(w, len(self.words)) for w in WORD.findall((text or "").encode().lower())]
             if ids:
                 texts.append((item, ids))
-        self.link, self.length, self.next = [-1], [0], [{}]
+        self.link, self.length = [-1], [0]
+        self.next: list[dict[int, int]] = [{}]
         for _, ids in texts:
             last = 0
             for c in ids:
@@ -77,6 +84,19 @@ class Automaton:
         pairs = {a * len(vocabulary) + b for _, ids in texts for a, b in zip(ids, ids[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
         self.vocabulary = vocabulary
+        # As arrays: transitions sorted by state and word.
+        self.keys = array("q", [s << 32 | c for s, edges in enumerate(self.next) for c in sorted(edges)])
+        self.targets = array("q", [edges[c] for edges in self.next for c in sorted(edges)])
+        del self.next
+        self.link, self.length, self.above = array("q", self.link), array("q", self.length), array("q", self.above)
+        self.items = {s: x for s, x in enumerate(self.items) if x}
+        self.short = {s: x for s, x in enumerate(self.short) if x}
+
+    def to(self, state: int, c: int) -> int:
+        """The state after word c, or -1."""
+        key = state << 32 | c
+        at = bisect_left(self.keys, key) if c >= 0 else len(self.keys)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == key else -1
 
     def _extend(self, last: int, c: int) -> int:
         if c in self.next[last]:
@@ -108,9 +128,8 @@ class Automaton:
         self.link[q] = copy
         return copy
 
-    def ids(self, words: Words) -> np.ndarray:
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Of each word its number in the items, or -1."""
-        hashes = words.hashes()
         out = np.full(len(hashes), -1, np.int64)
         if len(self.sorted):
             some = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
@@ -141,18 +160,20 @@ class Automaton:
         found: set[str] = set()
         state = n = 0
         for i, c in enumerate(ids):
-            while state and c not in self.next[state]:
+            on = self.to(state, c)
+            while state and on < 0:
                 state = self.link[state]
                 n = self.length[state]
-            if c in self.next[state]:
-                state, n = self.next[state][c], n + 1
+                on = self.to(state, c)
+            if on >= 0:
+                state, n = on, n + 1
             if n >= self.window:
                 spans.append((i + 1 - n, i + 1))
                 s = state
                 while self.length[self.link[s]] >= self.window:
                     s = self.link[s]
-                found |= self.items[s]
-            s = state if self.short[state] else self.above[state]
+                found |= self.items.get(s, set())
+            s = state if state in self.short else self.above[state]
             while s:
                 for m, item in self.short[s]:
                     if m <= n:
@@ -173,37 +194,51 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of at most limit bytes, an item longer than that alone; one block is on the driver at a time."""
-    spark = items.sparkSession
+def blocks(items: DataFrame, window: int, limit: int = BLOCK_BYTES) -> Iterator[Automaton]:
+    """Automata of blocks of at most about limit bytes of items, an item longer than that alone; one block is on the driver at a time."""
     sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = sized.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n = max(1, -(-2 * total // limit)) if total > limit else 1
-    part = lambda k: sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-    return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part(k)]) for k in range(n)]
+    for k in range(n):
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield Automaton([(r["item_id"], r["text"]) for r in rows], window)
 
 
 SPANS = "array<struct<start:bigint,end:bigint,from:bigint,to:bigint>>"
 
 
-def spans(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """docs with _words (their number), _hits (spans of hit words: first, last + 1, and their bytes) and _items (ids)."""
-    out = docs.withColumns({"_words": F.lit(None).cast("bigint"), "_hits": F.lit(None).cast(SPANS), "_items": F.lit(None).cast("array<string>")})
-    for block in blocks(items):
+def spans(docs: DataFrame, items: DataFrame, window: int = 10, names: tuple[str, str, str] = ("_words", "_hits", "_items")) -> DataFrame:
+    """docs with, in columns of these names, the number of words, the spans of hit words (first, last + 1, and their bytes) and the ids of the items."""
+    spark = docs.sparkSession
+    out = docs.withColumns(dict(zip(names, (F.lit(None).cast("bigint"), F.lit(None).cast(SPANS), F.lit(None).cast("array<string>")), strict=True)))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(block.value, window)
+    def searched_for(out: DataFrame, sent: list) -> DataFrame:
+        @released
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    yield searched(part, automaton)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
-
-
-def searched(part: pa.RecordBatch, automaton: Automaton) -> pa.RecordBatch:
-    words = Words(part.column("text"), NOT_ALNUM, lower=True)
-    ids = automaton.ids(words)
+                    words = Words(part.column("text"), NOT_ALNUM, lower=True)
+                    hashes = words.hashes()
+                    for block in sent:
+                        part = searched(part, words, hashes, block.value, names)
+                    yield part
+
+        return out.mapInArrow(run, out.schema)
+
+    sent: list = []
+    for automaton in blocks(items, window):
+        if len(sent) == PASS_BLOCKS:
+            out = written(spark, searched_for(out, sent), "benchmark-hits")
+            for block in sent:
+                block.unpersist()
+            sent = []
+        sent.append(spark.sparkContext.broadcast(automaton))
+    return searched_for(out, sent)
+
+
+def searched(part: pa.RecordBatch, words: Words, hashes: np.ndarray, automaton: Automaton, names: tuple[str, str, str]) -> pa.RecordBatch:
+    n_words, n_hits, n_items = names
+    ids = automaton.ids(hashes)
     hits: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[str]] = {}
     for a, b in automaton.runs(words, ids):
@@ -217,7 +252,7 @@ def searched(part: pa.RecordBatch, automaton: Automaton) -> pa.RecordBatch:
             hits.setdefault(row, []).extend((at + x, at + y) for x, y in got)
             items.setdefault(row, set()).update(found)
     all_hits, all_items = [], []
-    for row, (old, old_items) in enumerate(zip(part.column("_hits"), part.column("_items"), strict=True)):
+    for row, (old, old_items) in enumerate(zip(part.column(n_hits), part.column(n_items), strict=True)):
         before = [(h["start"], h["end"]) for h in old.as_py()] if old.is_valid else []
         all_items.append(sorted(items.get(row, set()) | set(old_items.as_py() if old_items.is_valid else [])))
         if row not in hits:
@@ -225,7 +260,7 @@ def searched(part: pa.RecordBatch, automaton: Automaton) -> pa.RecordBatch:
             continue
         w, base = int(words.first[row]), int(words.at[row])
         all_hits.append([{"start": a, "end": b, "from": int(words.starts[w + a]) - base, "to": int(words.ends[w + b - 1]) - base} for a, b in merged(before + hits[row])])
-    put = {"_words": pa.array(words.counts), "_hits": pa.array(all_hits, part.schema.field("_hits").type), "_items": pa.array(all_items, part.schema.field("_items").type)}
+    put = {n_words: pa.array(words.counts), n_hits: pa.array(all_hits, part.schema.field(n_hits).type), n_items: pa.array(all_items, part.schema.field(n_items).type)}
     return pa.RecordBatch.from_arrays([put.get(n, part.column(n)) for n in part.schema.names], schema=part.schema)
 
 
@@ -244,14 +279,15 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFra
 
 def remove(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """docs without those of which more than max_coverage is hit; in the others each hit span becomes a line break."""
-    hit = F.aggregate("_hits", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
-    found = spans(docs, items, window).where(hit <= max_coverage * F.col("_words"))
+    names = n_words, n_hits, _ = tuple(fresh(docs.columns, "words", "hits", "items"))
+    hit = F.aggregate(n_hits, F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
+    found = spans(docs, items, window, names).where(hit <= max_coverage * F.col(n_words))
     data = F.col("text").cast("binary")
     # The bytes between the hits: from the end of each to the start of the next.
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_hits", lambda x: x["to"]))
-    starts = F.concat(F.transform("_hits", lambda x: x["from"]), F.array(F.octet_length("text").cast("bigint")))
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(n_hits, lambda x: x["to"]))
+    starts = F.concat(F.transform(n_hits, lambda x: x["from"]), F.array(F.octet_length("text").cast("bigint")))
     kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring(data, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string"))
-    return found.withColumn("text", F.when(F.size("_hits") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size(n_hits) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,25 @@
 """Similarity join of documents on sets of word n-grams (Jaccard), size-aware: small sets by subsets, large ones by lists.
 
-Equal sets are one class; only classes are joined. All tokens (hashed n-grams) have one global order: by hash, but tokens in
-many documents come last. Two sets whose overlap is at least o share j of their first |x| - o + j tokens. So
+The texts are read once: the sets of all rows (sorted 64-bit hashes of n-grams) go to a table, which every later step reads.
+Equal sets are one class; only classes are joined. All tokens have one global order: by hash, but tokens in many documents come
+last. Two sets whose overlap is at least o share j of their first |x| - o + j tokens. So
 - small sets enumerate all two-token subsets of their prefix (j = 2), which meet others only in near copies;
 - large sets put the tokens of their prefix (j = SHARED) on inverted lists. Pairs with a large set are found there (a small
   set that is large enough to pair with one is on the lists too).
-The boundary is the size up to which subsets cost less: rows to enumerate against list entries to scan, whose mean length
-is measured. On a list of at most HEAVY classes, pairs whose sizes fit are counted, and those with enough common entries are
+The boundary is the size up to which subsets cost less: rows to enumerate against list entries to write and scan, whose mean
+length is measured. On a list of few classes, pairs whose sizes fit are counted, and those with enough common entries are
 candidates. A longer list (of a large group of near copies: there nearly all tokens are in many documents) makes each of its
-members a candidate with the list's least class. Connected candidates form a group; groups are split by size into pairs of
-blocks. In a group all overlaps are counted exactly, and only a spanning forest of the links comes out. Components of that
-forest, with the classes expanded, are the result. Nothing is dropped or capped: an order or a boundary that is badly chosen
-costs time, not links.
+members a candidate with the list's least class. Few is what makes a token common in the order too, so a long list comes only
+from sets that have no rarer tokens to offer. Connected candidates form a group; groups are split by size into pairs of blocks.
+In a group all overlaps are counted exactly, and only a spanning forest of the links comes out. Components of that forest, with
+the classes expanded, are the result. Nothing is dropped or capped: an order or a boundary that is badly chosen costs time, not
+links. The common tokens are sent as a Bloom filter (a false hit is one more token that comes last, everywhere alike); beyond
+2^MAX_BITS / 8 of them the least count that makes a token common, and a list long, is raised.
 
 Hashes: tokens, classes and lists are 64-bit hashes. Nulls: a null text, like one without words, has no set and no links. A
-row without doc_id links like others but names no component. Repeated rows are copies. Empty table: empty result. Extra
-columns are ignored by join() and kept by keep_first().
+row without doc_id links like others but names no component. Repeated rows are copies, whether with one doc_id or several. Long
+texts are hashed whole, in slices of about a megabyte of other rows or alone. Ties: of a component's rows the least doc_id
+names it. Empty table: empty result. Extra columns are ignored by join() and kept by keep_first(), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,18 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import Words, mixed, slices, windows
-from .shared import Bloom, table, written
+from .kernel import Words, mixed, released, slices, windows
+from .shared import Bloom, fresh, spread_join, table, written
 
 SHINGLE, PERCENT = 3, 90
 #: Common tokens of the prefixes of large sets.
 SHARED = 4
-#: A token in more documents than this comes last in the order (more, if more than MAX_HEAVY tokens would); on lists of at most so many, pairs are formed.
-HEAVY, MAX_HEAVY = 16, 1_000_000
+#: A token in more documents than this comes last in the order; on lists of at most so many, pairs are formed.
+HEAVY = 16
 #: A group holds about so many tokens and sets at most; larger ones are split into pairs of blocks.
 GROUP_TOKENS, GROUP_SETS = 1_500_000, 8_000
-MAX_SUBSET_PREFIX = 12
-MAX_BITS = 27
+#: What an entry of a list costs, in rows of subsets.
+ENTRY_COST = 1.0
+MAX_BITS = 28
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -79,27 +84,53 @@ def token_sets(column, n: int) -> tuple[list[np.ndarray], Words]:
 
 
 def class_of(tokens: np.ndarray) -> int:
-    total = np.add.reduce(mixed(tokens)) + np.uint64(len(tokens)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mixed(np.array([total])).view(np.int64)[0])
+    total = np.add.reduce(mixed(tokens), keepdims=True) + np.array([len(tokens)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int(mixed(total).view(np.int64)[0])
 
 
-def set_keys(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (size of the set), k (its class)."""
+SETS = "doc_id bigint, mark bigint, row bigint, n bigint, k bigint, tokens binary"
 
+
+def row_mark() -> object:
+    """A hash that tells rows of different doc_id or text apart."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+
+
+def all_sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, mark, row (a number of its own), n (size of the set), k (its class), tokens of every row."""
+
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, _ = token_sets(part.column("text"), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n", "k"])
+                columns = [pa.array(np.arange(row, row + len(sets))), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                row += len(sets)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *columns], [x.split()[0] for x in SETS.split(", ")])
+
+    return docs.select("doc_id", "text", row_mark().alias("mark")).mapInArrow(run, SETS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, k bigint")
+
+def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of the table of sets in runs of about a megabyte, with their tokens."""
+    for batch in batches:
+        sizes = np.cumsum([0, *batch.column("n").to_pylist()])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + (1 << 17), side="right")) - 1)
+            part = batch.slice(i, j - i)
+            yield part, [np.frombuffer(t.as_buffer(), np.uint64) for t in part.column("tokens")]
+            i = j
 
 
 class Plan:
-    """How lists are made: n-gram length, percent, heavy tokens (sorted) and the largest small set."""
+    """How lists are made: percent, common tokens, from how many classes on a list is long, and the largest small set."""
 
-    def __init__(self, n: int, percent: int, heavy: np.ndarray, boundary: int):
-        self.n, self.percent, self.heavy, self.boundary = n, percent, heavy, boundary
+    def __init__(self, percent: int, heavy: Bloom | None, few: int, boundary: int):
+        self.percent, self.heavy, self.few, self.boundary = percent, heavy, few, boundary
         self.least_on_lists = -(-percent * (boundary + 1) // 100)
         self.linking: dict[int, bool] = {}
 
@@ -110,10 +141,9 @@ class Plan:
 
     def ordered(self, tokens: np.ndarray, size: int) -> np.ndarray:
         """The first tokens of the set in the global order."""
-        if not len(self.heavy):
+        if self.heavy is None:
             return tokens[:size]
-        at = np.minimum(np.searchsorted(self.heavy, tokens), len(self.heavy) - 1)
-        late = self.heavy[at] == tokens
+        late = self.heavy.has(tokens)
         return np.concatenate((tokens[~late][:size], tokens[late]))[:size]
 
     def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
@@ -133,79 +163,73 @@ class Plan:
         return np.concatenate(out), subsets
 
 
-def prefix_tokens(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def prefix_tokens(sets: DataFrame, percent: int) -> DataFrame:
     """token: the first tokens by hash alone, a quarter more than a prefix has."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, _ = token_sets(part.column("text"), n)
-                some = [s[: prefix(len(s), percent, SHARED) * 5 // 4] for s in sets if len(s)]
-                if some:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], ["token"])
+        for _, own in read_sets(batches):
+            some = np.concatenate([s[: prefix(len(s), percent, SHARED) * 5 // 4] for s in own])
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["token"])
 
-    return docs.select("text").mapInArrow(run, "token bigint")
+    return sets.select("n", "tokens").mapInArrow(run, "token bigint")
 
 
-def planned(docs: DataFrame, n: int, percent: int) -> Plan:
-    """Heavy tokens from counts over all documents, and the boundary from the mean length of the lists."""
-    spark = docs.sparkSession
-    counts = prefix_tokens(docs, n, percent).groupBy("token").agg(F.count("*").alias("c"))
+def planned(sets: DataFrame, percent: int) -> Plan:
+    """Common tokens from counts over all documents, and the boundary from the mean length of the lists."""
+    spark = sets.sparkSession
+    counts = prefix_tokens(sets, percent).groupBy("token").agg(F.count("*").alias("c"))
     counts = written(spark, counts.where(F.col("c") > 1), "tokens")
-    total = counts.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") <= HEAVY, F.col("c") * F.col("c"))).alias("scans"), *[F.sum((F.col("c") > HEAVY * 4**i).cast("bigint")).alias(f"over{i}") for i in range(12)]).first()
-    level = next((i for i in range(12) if (total[f"over{i}"] or 0) <= MAX_HEAVY), 11)
-    heavy = counts.where(F.col("c") > HEAVY * 4**level).select("token").toArrow()["token"].to_numpy().view(np.uint64)
+    total = counts.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") <= HEAVY, F.col("c") * F.col("c"))).alias("scans"), *[F.sum((F.col("c") > HEAVY * 4**i).cast("bigint")).alias(f"over{i}") for i in range(20)]).first()
+    level = next(i for i in range(20) if 8 * (total[f"over{i}"] or 0) <= 1 << MAX_BITS or i == 19)
+    few = HEAVY * 4**level
+    heavy = bloom(counts.where(F.col("c") > few), "token") if total[f"over{level}"] else None
     mean = (total["scans"] or 0) / max(1, total["all"] or 0)
-    # A set with a prefix of p tokens has (p + 1) p / 2 subsets, or p entries on lists with about mean others each.
-    boundary, size = 0, 1
-    while prefix(size, percent, 2) <= min(MAX_SUBSET_PREFIX, 2 + 2 * mean):
-        boundary, size = size, size + 1
-    return Plan(n, percent, np.sort(heavy), boundary)
+    boundary = 0
+    while True:
+        pairs, entries = prefix(boundary + 1, percent, 2), prefix(boundary + 1, percent, SHARED)
+        if pairs * (pairs - 1) / 2 > entries * (1 + mean) * ENTRY_COST:
+            return Plan(percent, heavy, few, boundary)
+        boundary += 1
 
 
-def listed(docs: DataFrame, plan: Plan, wanted: Bloom | None) -> DataFrame:
+def listed(sets: DataFrame, plan: Plan, wanted: Bloom | None) -> DataFrame:
     """list, k, n, w of every entry of the lists, or of those that the filter has; w: for how many common entries it stands."""
-    sent = docs.sparkSession.sparkContext.broadcast((plan, wanted))
+    sent = sets.sparkSession.sparkContext.broadcast((plan, wanted))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, wanted = sent.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, _ = token_sets(part.column("text"), plan.n)
-                keys = [plan.keys(s) for s in sets]
-                sizes = np.array([len(x) for x, _ in keys])
-                out = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in keys)])
-                row = np.repeat(np.arange(len(sets)), sizes)
-                place = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                w = np.where(place < np.array([c for _, c in keys], np.int64)[row], SHARED, 1)
-                if wanted is not None:
-                    some = wanted.has(out)
-                    out, row, w = out[some], row[some], w[some]
-                used = np.unique(row)
-                k = np.zeros(len(sets), np.int64)
-                k[used] = [class_of(sets[i]) for i in used]
-                n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(k[row]), pa.array(n[row] if len(row) else np.zeros(0, np.int64)), pa.array(w)], ["list", "k", "n", "w"])
-
-    return docs.select("text").mapInArrow(run, "list bigint, k bigint, n bigint, w bigint")
+        for part, own in read_sets(batches):
+            keys = [plan.keys(s) for s in own]
+            sizes = np.array([len(x) for x, _ in keys])
+            out = np.concatenate([x for x, _ in keys])
+            row = np.repeat(np.arange(len(own)), sizes)
+            place = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            w = np.where(place < np.array([c for _, c in keys], np.int64)[row], SHARED, 1)
+            if wanted is not None:
+                some = wanted.has(out)
+                out, row, w = out[some], row[some], w[some]
+            k, n = part.column("k").to_numpy(), part.column("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(k[row]), pa.array(n[row]), pa.array(w)], ["list", "k", "n", "w"])
+
+    return sets.select("n", "k", "tokens").mapInArrow(run, "list bigint, k bigint, n bigint, w bigint")
 
 
 def bloom(keys: DataFrame, column: str) -> Bloom:
     return Bloom.of(keys, column, min(MAX_BITS, max(16, (8 * keys.count()).bit_length())))
 
 
-def set_rows(docs: DataFrame, n: int, wanted: Bloom) -> DataFrame:
-    """k, tokens of the documents whose hashed id the filter has."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def only_rows(sets: DataFrame, wanted: Bloom) -> DataFrame:
+    """k, row, tokens of the rows whose hashed number the filter has."""
+    sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(sent.value.has(batch.column("_id").to_numpy().view(np.uint64))))
-            for part in slices(batch, "text"):
-                sets, _ = token_sets(part.column("text"), n)
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "tokens"])
+            yield batch.filter(pa.array(sent.value.has(batch.column("id").to_numpy().view(np.uint64)))).drop_columns(["id"])
 
-    return docs.select("text", F.xxhash64("doc_id").alias("_id")).mapInArrow(run, "k bigint, tokens binary")
+    return sets.select("k", "row", "tokens", F.xxhash64("row").alias("id")).mapInArrow(run, "k bigint, row bigint, tokens binary")
 
 
 def forest(sets: list[np.ndarray], percent: int, dense: int = 24_000_000) -> np.ndarray:
@@ -252,29 +276,30 @@ def forest(sets: list[np.ndarray], percent: int, dense: int = 24_000_000) -> np.
     return label
 
 
-def links(docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
+def links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: classes; a forest with the components of all links between different sets."""
-    spark = docs.sparkSession
-    plan = planned(docs, n, percent)
-    counted = listed(docs, plan, None).groupBy("list").agg(F.count("*").alias("c")).where("c > 1").select("list")
-    rows = listed(docs, plan, bloom(written(spark, counted, "lists"), "list")).groupBy("list", "k").agg(F.first("n").alias("n"), F.first("w").alias("w"))
+    spark = sets.sparkSession
+    plan = planned(sets, percent)
+    # Lists that more than one class is on.
+    counted = listed(sets, plan, None).groupBy("list").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("list")
+    rows = listed(sets, plan, bloom(written(spark, counted, "lists"), "list")).groupBy("list", "k").agg(F.first("n").alias("n"), F.first("w").alias("w"))
     rows = written(spark, rows, "entries")
     lists = rows.groupBy("list").agg(F.count("*").alias("c"), F.min("k").alias("pivot")).where("c > 1")
     rows = written(spark, rows.join(lists, "list"), "shared-entries")
-    few = rows.where(F.col("c") <= HEAVY).select("list", "k", "n", "w")
+    few = rows.where(F.col("c") <= plan.few).select("list", "k", "n", "w")
     other = few.select("list", F.col("k").alias("k2"), F.col("n").alias("n2"))
     fits = (F.col("k") < F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     pairs = few.join(other, "list").where(fits).groupBy("k", "k2").agg(F.sum("w").alias("common"), F.first("n").alias("n"), F.first("n2").alias("n2"))
     pairs = pairs.where(F.expr(f"common >= least({SHARED}, ({percent} * (n + n2) + {99 + percent}) div {100 + percent})"))
-    stars = rows.where((F.col("c") > HEAVY) & (F.col("k") != F.col("pivot"))).select(F.col("k").alias("a"), F.col("pivot").alias("b"))
+    stars = rows.where((F.col("c") > plan.few) & (F.col("k") != F.col("pivot"))).select(F.col("k").alias("a"), F.col("pivot").alias("b"))
     groups = components(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).unionByName(stars)).select(F.col("component").alias("pivot"), F.col("node").alias("k"))
-    members = written(spark, groups.join(rows.groupBy("k").agg(F.first("n").alias("n")), "k"), "members")
+    firsts = sets.where("n > 0").groupBy("k").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    members = written(spark, groups.join(firsts, "k"), "members")
     weights = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("bigint").alias("blocks"))
     block = F.pmod(F.xxhash64("k"), F.col("blocks"))
     dealt = members.join(weights, "pivot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k")
-    wanted = members.select("k").distinct().join(keys, "k").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select(F.xxhash64("doc_id").alias("id"))
-    sets = set_rows(docs, n, bloom(written(spark, wanted, "wanted"), "id")).groupBy("k").agg(F.first("tokens").alias("tokens"))
+    dealt = dealt.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "row")
+    wanted = bloom(members.select(F.xxhash64("row").alias("id")).distinct(), "id")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("k")
@@ -283,24 +308,26 @@ def links(docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
         other = np.flatnonzero(label != np.arange(len(k)))
         return pa.table({"a": pa.array(k[other]), "b": pa.array(k[label[other]])})
 
-    return dealt.join(sets, "k").groupBy("pivot", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return dealt.join(only_rows(sets, wanted), ["k", "row"]).groupBy("pivot", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def placed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, k (class), part (component, by its classes) of every row."""
+    """doc_id, n_shingles, component_id, mark, k (class), part (component, by its classes) of every row."""
     if percent <= 50:
         raise ValueError("percent must be above 50")
     spark = docs.sparkSession
-    keys = written(spark, set_keys(docs, n), "sets")
-    own = keys.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"))
-    nodes = components(links(docs, keys.where("n > 0"), n, percent))
+    sets = written(spark, all_sets(docs, n), "sets")
+    keys = sets.drop("tokens", "row")
+    own = written(spark, keys.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
+    nodes = components(links(sets, percent))
     # The classes with links, each with the least doc_id of its component; others are a component alone.
     with_links = nodes.join(own, F.col("node") == F.col("k")).select("k", "component", "first")
     least = with_links.groupBy("component").agg(F.min("first").alias("least"))
     far = with_links.join(least, "component").select("k", "component", "least")
-    ends = own.join(far, "k", "left").select(F.col("k").alias("end"), F.coalesce("least", "first").alias("least"), F.coalesce("component", "k").alias("part"))
-    rows = keys.join(ends, (F.col("k") == F.col("end")) & (F.col("n") > 0), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "k", "part")
+    ends = written(spark, own.join(far, "k", "left").select("k", "copies", F.coalesce("least", "first").alias("least"), F.coalesce("component", "k").alias("part")), "ends")
+    found = spread_join(keys.where("n > 0"), ends, "k", "copies", keys.count(), "inner").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "mark", "k", "part")
+    alone = keys.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("part"))
+    return found.unionByName(alone)
 
 
 def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -308,32 +335,16 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     return placed(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def with_class(docs: DataFrame, n: int) -> DataFrame:
-    """docs with _n (size of the set) and _k (its class)."""
-    out = docs.withColumns({"_n": F.lit(None).cast("bigint"), "_k": F.lit(None).cast("bigint")})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, _ = token_sets(part.column("text"), n)
-                put = {"_n": pa.array([len(s) for s in sets], pa.int64()), "_k": pa.array([class_of(s) for s in sets], pa.int64())}
-                yield pa.RecordBatch.from_arrays([put.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
-
-    return out.mapInArrow(run, out.schema)
-
-
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: the one with the least doc_id, of rows that share it one of the least class; a row
-    without doc_id only where the component has no other. Rows without words stay."""
+    without doc_id only where the component has no other. Of rows equal in doc_id and text one stays. Rows without words stay."""
     spark = docs.sparkSession
     found = written(spark, placed(docs, n, percent), "components")
-    if found.where("doc_id is null and n_shingles > 0").isEmpty() and found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        first = found.where("component_id = doc_id").select("doc_id")
-        return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    first = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("x")).select(F.col("x.doc_id").alias("_first"), F.col("x.k").alias("_of"))
-    rows = with_class(docs, n)
-    once = rows.join(first, (F.col("_k") == F.col("_of")) & rows["doc_id"].eqNullSafe(F.col("_first"))).where("_n > 0").dropDuplicates(["_k"])
-    return once.select(*docs.columns).unionByName(rows.where("_n = 0").select(*docs.columns))
+    first = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k", "mark")).alias("x"))
+    (mark,) = fresh(docs.columns, "mark")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(has_words).withColumn(mark, row_mark()).join(first.select(F.col("x.mark").alias(mark)), mark, "left_semi").dropDuplicates([mark])
+    return rows.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 between the languages of that family.
 
 Features are shares of hashed character 1- to 4-grams of the lower-case text; all of the text counts. The machines (squared
-hinge loss, accelerated gradient steps on the whole sample) are fitted on the driver on a sample of labelled rows bounded by
-MAX_SAMPLE; which rows are in it follows from a hash of doc_id. The sample comes as sparse feature vectors of bounded size,
-not as texts. Prediction is one pass without a shuffle; the weights are a few hundred KB whatever the input.
+hinge loss, accelerated gradient steps on the whole sample) are fitted on the driver on a sample of at most max_rows
+(MAX_SAMPLE) labelled rows, as many of each language as of any other where there are so many: those whose hash of doc_id and
+text is least. So at most max_rows languages are learned, those with most rows. The sample comes as sparse feature vectors of
+bounded size, not as texts. Prediction is one pass without a shuffle; the weights are a few hundred KB whatever the input.
 
 Nulls and texts without a letter: lang 'und', score 0. Rows without lang are predicted but not learned from. Without any
-labelled row every text is 'und'; with one language all texts with a letter are that language. Repeated rows count each.
-Empty table: empty result. Extra columns are ignored by predict() and kept by keep_known().
+labelled row every text is 'und'; with one language all texts with a letter are that language. Ties: of languages with equally
+many duels won the one with the larger sum of margins, then the first by name. Rows equal in doc_id, lang and text are sampled
+once and each predicted. Long texts are read whole, in pieces of CHUNK characters. Empty table: empty result. Extra columns are
+ignored by predict() and kept by keep_known(), whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .kernel import released, slices
+from .shared import fresh, table
 
 LOG2_FEATURES = 13
 GRAMS = (1, 2, 3, 4)
-MAX_SAMPLE = 1600
+MAX_SAMPLE = 2400
 FOLDS, HELD = 5, 0
 CHUNK = 1 << 18
 #: Families of languages by ISO 639-1 code. A language not listed is a family of its own.
@@ -154,32 +158,37 @@ class Model:
 def sample(docs: DataFrame, max_rows: int = MAX_SAMPLE) -> tuple[np.ndarray, list[str]]:
     """Features and languages of at most max_rows labelled rows outside the held-out fold, the languages as even as they can be."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows // 2).collect()}
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD)).select("doc_id", "lang", "text")
+    key = F.xxhash64("doc_id", "text")
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     if not sizes:
         return np.zeros((0, 1 << LOG2_FEATURES), np.float32), []
     each = max_rows // len(sizes)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = None
+    few = None  # of each language about 2 * each + 40 rows by their hash, of which the least are taken
     for lang, n in sizes.items():
-        rule = (F.col("lang") == lang) & (share < min(1.0, 0.9 * each / n))
-        wanted = rule if wanted is None else wanted | rule
+        rule = (F.col("lang") == lang) & (F.pmod("key", F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * (2 * each + 40) / n) + 1))
+        few = rule if few is None else few | rule
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "key"))
+    chosen = labelled.select("lang", key.alias("key")).where(few).distinct().withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, v, vector(t)) for d, v, t in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "lang", "text")), strict=True) if has_letter(t)]
+            rows = [(d, v, vector(t)) for d, v, t in zip(*(batch.column(n).to_pylist() for n in ("key", "lang", "text")), strict=True) if has_letter(t)]
             at = [np.flatnonzero(x).astype(np.int32) for _, _, x in rows]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([d for d, _, _ in rows], pa.int64()),
+                    "key": pa.array([d for d, _, _ in rows], pa.int64()),
                     "lang": pa.array([v for _, v, _ in rows], pa.string()),
                     "at": pa.array(at, pa.list_(pa.int32())),
                     "share": pa.array([x[i] for (_, _, x), i in zip(rows, at, strict=True)], pa.list_(pa.float32())),
                 }
             )
 
-    got = labelled.where(wanted).select("doc_id", "lang", "text").mapInArrow(run, "doc_id bigint, lang string, at array<int>, share array<float>").limit(2 * max_rows).toArrow()
-    rows = sorted(zip(*(got[n].to_pylist() for n in ("doc_id", "lang")), range(got.num_rows), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    once = labelled.withColumn("key", key).join(F.broadcast(chosen), ["lang", "key"]).dropDuplicates(["lang", "key"])  # at most max_rows rows
+    got = once.select("key", "lang", "text").mapInArrow(run, "key bigint, lang string, at array<int>, share array<float>").toArrow()
+    rows = sorted(zip(*(got[n].to_pylist() for n in ("key", "lang")), range(got.num_rows), strict=True))
     x = np.zeros((len(rows), 1 << LOG2_FEATURES), np.float32)
     for k, (_, _, i) in enumerate(rows):
         x[k, got["at"][i].values.to_numpy()] = got["share"][i].values.to_numpy()
@@ -190,17 +199,19 @@ def fit(docs: DataFrame, max_rows: int = MAX_SAMPLE) -> Model:
     return Model(*sample(docs, max_rows))
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _lang and _score."""
-    out = docs.withColumns({"_lang": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")})
+def with_language(docs: DataFrame, model: Model, lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """docs with the language and the score, in columns of these names."""
+    out = docs.withColumns({lang: F.lit(None).cast("string"), score: F.lit(None).cast("double")})
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
-            said = [own.predict(v.as_py()) for v in batch.column("text")]
-            put = {"_lang": pa.array([s[0] for s in said], pa.string()), "_score": pa.array([s[1] for s in said], pa.float64())}
-            yield pa.RecordBatch.from_arrays([put.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                said = [own.predict(v.as_py()) for v in batch.column("text")]
+                put = {lang: pa.array([s[0] for s in said], pa.string()), score: pa.array([s[1] for s in said], pa.float64())}
+                yield pa.RecordBatch.from_arrays([put.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
 
     return out.mapInArrow(run, out.schema)
 
@@ -215,8 +226,10 @@ def keep_known(docs: DataFrame, max_rows: int = MAX_SAMPLE) -> DataFrame:
     """docs whose language can be told: those of 'und' go, which are the texts without a letter. Without labels all others stay."""
     model = fit(docs, max_rows)
     if model.families:
-        return with_language(docs, model).where("_lang <> 'und'").select(*docs.columns)
+        lang, score = fresh(docs.columns, "lang", "score")
+        return with_language(docs, model, lang, score).where(F.col(lang) != "und").select(*docs.columns)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([has_letter(v.as_py()) for v in batch.column("text")], pa.bool_()))

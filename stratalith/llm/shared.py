@@ -1,4 +1,4 @@
-"""Written intermediate tables and fixed-size Bloom filters."""
+"""Written intermediate tables, joins on skewed keys, and Bloom filters of bounded size."""
 
 from __future__ import annotations
 
@@ -13,10 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset; it gets a temporary one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='stratalith-')}"
@@ -37,6 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for columns of one's own: _name, with as many more underscores as keep it apart from the columns that are there."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while f"_{n}".lower() in low:
+            n = "_" + n
+        out.append(f"_{n}")
+    return out
+
+
+#: A key with more than one in so many of all rows is hot; there are at most so many of them, so they may be broadcast.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with side on key; count: how many of all total rows have the key, so that its hot keys need no shuffle of their rows."""
+    is_hot = F.col(count) * HOT_KEYS > total
+    hot = F.broadcast(side.where(is_hot))
+    rest = rows.join(hot.select(key), key, "left_anti").join(side.where(~is_hot), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 class Bloom:
     """A Bloom filter over 64-bit hashes. Its size is fixed by log2_bits, so it may be broadcast whatever the input."""
 

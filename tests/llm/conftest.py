@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+#: Columns of documents that bear the operators' own names.
+OWN = ("_lang", "_score", "_spans", "_words", "_hits", "_items", "_rows", "_n", "_k", "_x", "_mark", "mark", "tokens", "text_", "copies", "source_")
 KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -30,7 +32,7 @@ def edge(spark, edge_texts):
     from pyspark.sql import functions as F
 
     docs = frame(spark, edge_texts)
-    return docs.withColumns({n: F.lit("clash") for n in ("words", "n_words", "size", "shard", "row", "h", "k", "kind", "spans", "score", "kept", "id", "n", "_key", "_arc", "bits", "keys", "lines", "found")})
+    return docs.withColumns({n: F.lit("clash") for n in ("words", "n_words", "size", "shard", "row", "h", "k", "kind", "spans", "score", "kept", "id", "n", "_key", "_arc", "bits", "keys", "lines", "found", *OWN)})
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ import numpy as np
 from conftest import frame
 from pyspark.sql import functions as F
 from stratalith.llm import language_id
-from stratalith.llm.language_id import fit, has_letter, keep_known, predict, vector
+from stratalith.llm.language_id import family, fit, has_letter, keep_known, predict, sample, vector
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 
@@ -63,3 +63,49 @@ def test_a_family_of_its_own_for_languages_not_listed(spark):
     langs = ["qx", "en", "de"] * 40
     docs = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(zip(texts, langs, strict=True))], "doc_id bigint, text string, lang string")
     assert all(r["lang_pred"] == langs[r["doc_id"]] for r in predict(docs).collect())
+
+
+def plain_prediction(model, text):
+    """The two steps written out: every duel counted on its own, with plain sums over the features."""
+    if not has_letter(text):
+        return "und", 0.0
+    x = vector(text).astype(float)
+    margin = {p: sum(x[i] * float(model.weights[i, k]) for i in np.flatnonzero(x)) + float(model.offsets[k]) for k, p in enumerate(model.pairs)}
+
+    def winner(options):
+        table = {o: [0, 0.0, 1.0] for o in options}
+        for (a, b), m in margin.items():
+            if a in table and b in table:
+                p = 1 / (1 + np.exp(-4 * m))
+                table[a if m >= 0 else b][0] += 1
+                for o, sign, q in ((a, 1, p), (b, -1, 1 - p)):
+                    table[o][1] += sign * m
+                    table[o][2] = min(table[o][2], q)
+        best = sorted(table, key=lambda o: (-table[o][0], -table[o][1], o))[0]
+        return best, table[best][2]
+
+    kin, p = winner(sorted({family(v) for options in model.families.values() for v in options}))
+    lang, q = winner(model.families[kin])
+    return lang, p * q
+
+
+def test_predictions_equal_plain_duels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit(docs)
+    for r in predict(docs).join(docs, "doc_id").collect():
+        lang, score = plain_prediction(model, r["text"])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3
+
+
+def test_the_sample_is_bounded_and_even(spark):
+    docs = spark.read.parquet(DOCS)
+    x, langs = sample(docs, 80)
+    assert len(x) == len(langs) == 80 and {langs.count(v) for v in set(langs)} == {80 // len(set(langs))}
+    many = frame(spark, ["some words here"] * 500).withColumn("doc_id", F.lit(2).cast("bigint"))
+    assert len(sample(many.withColumn("lang", F.lit("en")), 80)[1]) == 1  # rows equal in all count once
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "the and of", "en", "a", "b")] * 3 + [(2, "12", "en", "a", "b")], "doc_id bigint, text string, lang string, _lang string, _score string")
+    assert len(predict(docs).collect()) == 4
+    assert [tuple(r) for r in keep_known(docs).collect()] == [(1, "the and of", "en", "a", "b")] * 3

@@ -61,3 +61,14 @@ def test_documents(spark):
 
 def test_empty_table(empty):
     assert tokens(empty).count() == 0
+
+
+def test_long_texts_without_blanks_and_repeated_rows(spark):
+    rnd = random.Random(9)
+    long = "".join(rnd.choices("abcdefgh漢字", k=60_000))
+    texts = [long, long, "x" * 200_000]
+    check(frame(spark, texts), texts)
+    own = codec(vocabulary_path())
+    own.packed.clear()
+    own.encode(long)
+    assert all(len(k) <= 48 for k in own.packed)

@@ -61,11 +61,12 @@ def test_against_brute_force(spark, n, percent):
     check(frame(spark, texts), texts, n, percent)
 
 
-@pytest.mark.parametrize("heavy,sets,prefix_size", [(3, 8_000, 12), (256, 5, 12), (2, 3, 0), (2, 8_000, 40)])
-def test_order_blocks_and_boundary_change_no_link(spark, monkeypatch, heavy, sets, prefix_size):
+@pytest.mark.parametrize("heavy,sets,cost,bits", [(3, 8_000, 1, 28), (256, 5, 1, 28), (2, 3, 0, 28), (2, 8_000, 20, 28), (2, 8_000, 1, 8)])
+def test_order_blocks_and_boundary_change_no_link(spark, monkeypatch, heavy, sets, cost, bits):
     monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
     monkeypatch.setattr(jaccard_join, "GROUP_SETS", sets)
-    monkeypatch.setattr(jaccard_join, "MAX_SUBSET_PREFIX", prefix_size)
+    monkeypatch.setattr(jaccard_join, "ENTRY_COST", cost)
+    monkeypatch.setattr(jaccard_join, "MAX_BITS", bits)
     texts = near(7)
     check(frame(spark, texts), texts, 3, 80)
 
@@ -94,7 +95,7 @@ def test_prefixes_and_sizes():
 
 def test_sparse_and_dense_counts_agree():
     rnd = np.random.default_rng(1)
-    sets = [np.unique(rnd.integers(0, 60, 30).astype(np.uint64)) for _ in range(50)]
+    sets = [np.unique(rnd.integers(0, 60, 28).astype(np.uint64)) for _ in range(50)]
     want = forest(sets, 42)
     assert 1 < len(set(want.tolist())) < 50 and forest(sets, 42, dense=0).tolist() == want.tolist()
     links = [(i, j) for i in range(50) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 42 * len(np.union1d(sets[i], sets[j]))]
@@ -118,9 +119,18 @@ def test_keep_first(spark, empty):
     assert {r["doc_id"] for r in keep_first(docs).collect()} == want
     again = keep_first(docs.union(docs)).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in again} == want and all(r["count"] == (1 if texts[r["doc_id"]] else 2) for r in again)
+    named = docs.selectExpr("*", "1 as _mark", "2 as mark", "3 as _n", "4 as _k", "5 as _rows")
+    assert {r["doc_id"] for r in keep_first(named).where("_mark = 1 and mark = 2 and _n = 3 and _k = 4 and _rows = 5").collect()} == want
     assert keep_first(empty).count() == 0 and join(empty).count() == 0
 
 
+def test_keep_first_of_repeated_ids_with_different_texts(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert kept([(5, text("a")), (5, text("b")), (9, text("c"))]) == [(5, text("a")), (5, text("b")), (9, text("c"))]
+    assert kept([(3, text("a")), (5, text("a") + " end"), (5, text("b"))]) == [(3, text("a")), (5, text("b"))]
+
+
 def test_keep_first_of_null_and_repeated_ids(spark):
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))
     rows = [(None, text("a")), (None, text("a") + " end"), (4, text("b")), (None, text("b") + " end"), (7, text("c")), (7, text("d")), (3, text("d") + " end"), (7, None), (None, "")]

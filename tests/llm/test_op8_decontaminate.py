@@ -52,6 +52,23 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items, texts = fixture()
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (200,))
     check(spark, frame(spark, texts), texts, items, 4)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    check(spark, frame(spark, texts), texts, items, 4)
+
+
+def test_five_blocks_are_one_stage(spark, monkeypatch):
+    items, texts = fixture()
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (sum(len((x or "").encode()) for _, x in items) * 2 // 5 + 1,))
+    found = decontaminate.spans(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(list(decontaminate.blocks(spark.createDataFrame(items, "item_id bigint, text string"), 4))) == 5
+    assert plan.count("MapInArrow") == 1
+
+
+def test_columns_with_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "one two three four five", "a", "b", "c"), (1, "x one two three y and more words", "d", "e", "f")], "doc_id bigint, text string, _words string, _hits string, _items string")
+    got = remove(docs, spark.createDataFrame([(1, "one two three")], "item_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "x \n y and more words", "d", "e", "f")]
 
 
 def test_edge_cases(spark, edge, edge_texts):
