@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import Words, mixed, released, slices, windows
-from .shared import Bloom, fresh, spread_join, table, written
+from .shared import Bloom, forget, fresh, spread_join, table, written
 
 SHINGLE, PERCENT = 3, 90
 #: Common tokens of the prefixes of large sets.
 SHARED = 4
 #: A token in more documents than this comes last in the order; on lists of at most so many, pairs are formed.
 HEAVY = 16
-#: A group holds about so many tokens and sets at most; larger ones are split into pairs of blocks.
-GROUP_TOKENS, GROUP_SETS = 1_500_000, 8_000
+#: A block holds about so many tokens and sets at most; larger groups are split into pairs of blocks.
+GROUP_TOKENS, GROUP_SETS = 750_000, 1_000
 #: What an entry of a list costs, in rows of subsets.
 ENTRY_COST = 1.0
 MAX_BITS = 28
@@ -179,7 +179,7 @@ def planned(sets: DataFrame, percent: int) -> Plan:
     """Common tokens from counts over all documents, and the boundary from the mean length of the lists."""
     spark = sets.sparkSession
     counts = prefix_tokens(sets, percent).groupBy("token").agg(F.count("*").alias("c"))
-    counts = written(spark, counts.where(F.col("c") > 1), "tokens")
+    counts = written(spark, counts.where(F.col("c") > 1), "tokens")  # a token in one document makes no list
     total = counts.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") <= HEAVY, F.col("c") * F.col("c"))).alias("scans"), *[F.sum((F.col("c") > HEAVY * 4**i).cast("bigint")).alias(f"over{i}") for i in range(20)]).first()
     level = next(i for i in range(20) if 8 * (total[f"over{i}"] or 0) <= 1 << MAX_BITS or i == 19)
     few = HEAVY * 4**level
@@ -232,8 +232,13 @@ def only_rows(sets: DataFrame, wanted: Bloom) -> DataFrame:
     return sets.select("k", "row", "tokens", F.xxhash64("row").alias("id")).mapInArrow(run, "k bigint, row bigint, tokens binary")
 
 
-def forest(sets: list[np.ndarray], percent: int, dense: int = 24_000_000) -> np.ndarray:
-    """Of each set the first set of its component, by links among these sets; all overlaps are counted."""
+def forest(sets: list[np.ndarray], percent: int, dense: int = 12_000_000) -> np.ndarray:
+    """Of each set the first set of its component, by links among these sets.
+
+    The overlaps of a set with all others are counted, set by set; only sets that lie in the component which is largest by then
+    may be left out at the end, as all links of the others are known and theirs among themselves change nothing. So a group of
+    near copies of one set costs one row of overlaps, and one more for each set that is not linked to it.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     label = np.arange(m)
@@ -255,25 +260,29 @@ def forest(sets: list[np.ndarray], percent: int, dense: int = 24_000_000) -> np.
             every = np.unique(np.append(label[js], label[i]))
             label = np.where(np.isin(label, every[1:]), every[0], label)
 
+    matrix, lists, ends, begins = None, None, None, None
     if m * width <= dense:
         matrix = np.zeros((m, width), np.float32)
         matrix[rows, cols] = 1
-        step = max(1, 4_000_000 // m)
-        for i in range(0, m, step):
-            for j, both in enumerate((matrix[i : i + step] @ matrix.T).astype(np.int64)):
-                linked(i + j, both)
-        return label
-    # Sparse: add up the lists of each set's tokens.
-    order = np.argsort(cols, kind="stable")
-    lists, ends = rows[order], np.concatenate(([0], np.cumsum(np.bincount(cols, minlength=width))))
-    begins = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=m))))
-    for i in range(m):
-        own = cols[begins[i] : begins[i + 1]]
-        both = np.zeros(m, np.int64)
-        for c in own:
-            both[lists[ends[c] : ends[c + 1]]] += 1
-        linked(i, both)
-    return label
+    else:  # add up the lists of each set's tokens
+        order = np.argsort(cols, kind="stable")
+        lists, ends = rows[order], np.concatenate(([0], np.cumsum(np.bincount(cols, minlength=width))))
+        begins = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=m))))
+    done, most, step = np.zeros(m, bool), max(1, 2_000_000 // m), 1
+    while True:
+        largest = np.bincount(label, minlength=m).argmax()
+        left = np.flatnonzero(~done & (label != largest))[:step]
+        if not len(left):
+            return label
+        if matrix is not None:
+            for i, both in zip(left, (matrix[left] @ matrix.T).astype(np.int64), strict=True):
+                linked(i, both)
+        else:
+            for i in left:
+                at = cols[begins[i] : begins[i + 1]]
+                linked(i, np.bincount(np.concatenate([lists[ends[c] : ends[c + 1]] for c in at]) if len(at) else at, minlength=m))
+        done[left] = True
+        step = min(most, 2 * step)
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
@@ -282,10 +291,12 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     plan = planned(sets, percent)
     # Lists that more than one class is on.
     counted = listed(sets, plan, None).groupBy("list").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("list")
-    rows = listed(sets, plan, bloom(written(spark, counted, "lists"), "list")).groupBy("list", "k").agg(F.first("n").alias("n"), F.first("w").alias("w"))
-    rows = written(spark, rows, "entries")
-    lists = rows.groupBy("list").agg(F.count("*").alias("c"), F.min("k").alias("pivot")).where("c > 1")
-    rows = written(spark, rows.join(lists, "list"), "shared-entries")
+    counted = written(spark, counted, "lists")
+    rows = listed(sets, plan, bloom(counted, "list")).groupBy("list", "k").agg(F.first("n").alias("n"), F.first("w").alias("w"))
+    entries = written(spark, rows, "entries")
+    lists = entries.groupBy("list").agg(F.count("*").alias("c"), F.min("k").alias("pivot")).where("c > 1")
+    rows = written(spark, entries.join(lists, "list"), "shared-entries")
+    forget(counted, entries)
     few = rows.where(F.col("c") <= plan.few).select("list", "k", "n", "w")
     other = few.select("list", F.col("k").alias("k2"), F.col("n").alias("n2"))
     fits = (F.col("k") < F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
@@ -298,7 +309,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     weights = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("bigint").alias("blocks"))
     block = F.pmod(F.xxhash64("k"), F.col("blocks"))
     dealt = members.join(weights, "pivot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "row")
+    # Each pair of blocks holds both whole, so a block of its own is needed only where there is one.
+    dealt = dealt.where("blocks = 1 or block <> other").select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "row")
     wanted = bloom(members.select(F.xxhash64("row").alias("id")).distinct(), "id")
 
     def run(group: pa.Table) -> pa.Table:
@@ -311,8 +323,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(only_rows(sets, wanted), ["k", "row"]).groupBy("pivot", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def placed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, mark, k (class), part (component, by its classes) of every row."""
+def placed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, component_id, mark, k (class), part (component, by its classes) of every row, and the written sets that this reads."""
     if percent <= 50:
         raise ValueError("percent must be above 50")
     spark = docs.sparkSession
@@ -327,19 +339,21 @@ def placed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     ends = written(spark, own.join(far, "k", "left").select("k", "copies", F.coalesce("least", "first").alias("least"), F.coalesce("component", "k").alias("part")), "ends")
     found = spread_join(keys.where("n > 0"), ends, "k", "copies", keys.count(), "inner").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "mark", "k", "part")
     alone = keys.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("part"))
-    return found.unionByName(alone)
+    return found.unionByName(alone), sets
 
 
 def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return placed(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+    return placed(docs, n, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: the one with the least doc_id, of rows that share it one of the least class; a row
     without doc_id only where the component has no other. Of rows equal in doc_id and text one stays. Rows without words stay."""
     spark = docs.sparkSession
-    found = written(spark, placed(docs, n, percent), "components")
+    found, sets = placed(docs, n, percent)
+    found = written(spark, found, "components")
+    forget(sets)
     first = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k", "mark")).alias("x"))
     (mark,) = fresh(docs.columns, "mark")
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -106,6 +106,16 @@ def test_sparse_and_dense_counts_agree():
     assert label == want.tolist()
 
 
+def test_groups_of_near_copies_cost_few_rows_of_overlaps():
+    rnd = np.random.default_rng(3)
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = [np.unique(np.append(np.delete(base, rnd.integers(0, 100, 2)), np.uint64(1000 + i % 7))) for i in range(400)]
+    sets += [np.arange(5000 + 200 * i, 5100 + 200 * i, dtype=np.uint64) for i in range(5)] + [sets[0][:50]]
+    for dense in (0, 12_000_000):
+        label = forest(sets, 90, dense)
+        assert set(label[:400]) == {0} and label[400:].tolist() == list(range(400, 406))
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()))
