@@ -1,19 +1,27 @@
 """Log-likelihood of documents under a gated recurrent language model in numpy.
 
 Tokens are lower-case words and one end per document. Counts of all training tokens are grouped over the whole corpus. The
-HOT most frequent tokens have words of their own, in classes by frequency; all others are one more class, within which their
-probability is that of their count plus one. p(token) = p(class | state) p(token | class, state), the class-factored softmax.
+softmax is factored by classes, p(token) = p(class | state) p(token | class, state):
+- the HOT most frequent tokens lie in CLASSES classes by frequency, and have scores of their own that depend on the state;
+- every other word, seen or not, lies in one of OTHERS classes by how it ends (its last two bytes). Within its class its
+  probability follows its count plus one; that factor does not depend on the state.
+So the state tells each word of the whole vocabulary apart by its class, and the frequent ones by themselves; the count tables,
+which all words have, grow with the corpus. Inputs are the same: the frequent tokens, and the classes of all others.
 
 The state is a gated recurrent unit. Training is truncated back-propagation: documents run side by side in lanes, window by
-window of STEPS tokens, and the state goes on across windows until its document ends. Each task trains on all its training
-documents from the same start; the weights of all tasks are averaged by their tokens (sums of numbers, pre-aggregated).
-Scoring carries the state through the whole document, so a score is the log-likelihood of the complete text.
+window of STEPS tokens, and the state goes on across windows until its document ends. The training documents are dealt into
+shards of about SHARD_TOKENS tokens by a hash of id and text, and lie in a shard in the order of that hash; both depend on the
+table alone. ROUNDS rounds each train on their share of the shards, every shard from the weights that the round before left;
+the round's weights are the mean over its shards, added as integers, so that no order of tasks changes them. The model is a
+function of the table, however its rows are partitioned. Every training document is trained on once.
 
-Counts of the KNOWN most frequent tokens are broadcast (a fixed number); occurrences of other tokens are joined with the table
-of counts. No such token is frequent, so none makes a hot key.
+Scoring carries the state through the whole document, so a score is the log-likelihood of the complete text. Counts of the KNOWN
+most frequent tokens are broadcast (a fixed number; of equally frequent ones those of the least hash); occurrences of other
+tokens are joined with the table of counts.
 
 Nulls: a null text is an empty one, its only token the end; a row without doc_id is trained on. Repeated rows count each.
-Without training rows every base score is 0 and the model is its start. Empty table: empty result. Extra columns are ignored.
+Ties: equally frequent tokens are ranked by their hash. Long texts are scored whole; a document lies in one lane. Without
+training rows every base score is 0 and the model is its start. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,80 +35,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Lookup, Words, slices
-from .shared import table, written
+from .kernel import Lookup, Words, mixed, released, slices
+from .shared import forget, table, written
 
-HOT, CLASSES, HIDDEN, OTHER_INPUTS = 256, 16, 16, 64
+HOT, CLASSES, OTHERS, HIDDEN = 768, 24, 96, 24
 KNOWN = 1 << 18
-STEPS, LANES, RATE = 16, 1024, 0.3
+STEPS, LANES, RATE = 16, 384, 0.3
+SHARD_TOKENS, ROUNDS = 1 << 22, 3
+#: Weights are added as integers of this scale; a sum over 2^24 shards of weights below 64 fits.
+SCALE = 1 << 32
 #: Logits are cut at this, so that no sum of exponentials overflows.
 TOP = 60.0
-CHUNK_TOKENS = 1_200_000
+CHUNK_TOKENS = 1_000_000
 #: A lane is at least about so long, so that little data still makes many steps.
 LANE_TOKENS = 2048
 FOLDS, HELD = 7, 2
 _ROOTS = {"gates": 0.1, "turn": 0.1, "words": 0.05, "classes": 0.05}
 
 
+def endings(words: Words) -> np.ndarray:
+    """Of each word the class of its last two bytes."""
+    last = words.data[words.ends - 1].astype(np.uint64)
+    before = np.where(words.ends - words.starts > 1, words.data[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
+    return (mixed(last << np.uint64(8) | before) % np.uint64(OTHERS)).astype(np.int64)
+
+
 class Vocabulary:
-    """hashes and counts of the KNOWN most frequent words (most frequent first), N, V and the counts of the ends."""
+    """hashes, counts and endings of the KNOWN most frequent words (most frequent first), N, V, the count of the ends, and of
+    each ending the tokens and the distinct words in training."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int, hot: int = HOT):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray, total: int, distinct: int, ends: int, by_ending: np.ndarray, hot: int | None = None):
         self.lookup, self.counts, self.total, self.distinct = Lookup(hashes), counts, total, distinct
-        self.hot = min(hot - 1, len(hashes))  # words; the end comes after them
+        self.hot = min((hot or HOT) - 1, len(hashes))  # words; the end comes after them, then the endings
         self.end = self.hot
         own = np.append(counts[: self.hot], ends).astype(np.float64)
-        self.classes = min(CLASSES, self.hot + 1)
         order = np.argsort(-own, kind="stable")
         rank = np.empty(len(own), np.int64)
         rank[order] = np.arange(len(own))
-        # Words in the order of their frequency; each class has as many words as the next (the last may have fewer).
-        self.size = -(-len(own) // self.classes)
+        # Frequent tokens in the order of their frequency; each class has as many as the next (the last may have fewer).
+        self.size = -(-len(own) // min(CLASSES, self.hot + 1))
         self.classes = -(-len(own) // self.size)
-        self.place = rank  # of a hot token: its row among the output words
+        self.place = rank  # of a frequent token: its row among the output words
         self.own = own[order]
-        self.other_total = max(0.0, total - own.sum())
-        self.other_distinct = max(0, distinct - len(own))
+        # Of each code (frequent tokens, endings, none): its class.
+        self.class_of = np.concatenate((rank // self.size, self.classes + np.arange(OTHERS), [self.classes + OTHERS]))
+        rest = by_ending.astype(np.float64)  # (OTHERS, 2): tokens, distinct words
+        np.subtract.at(rest, classes[: self.hot], np.stack([counts[: self.hot], np.ones(self.hot)], 1))
+        self.rest = np.maximum(rest, 0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1.0) / (self.total + self.distinct + 1.0))
 
-    def other_share(self) -> float:
-        """log10 of (N + V + 1) over the same for the tokens that are not hot: what turns a base score into one within their class."""
-        return math.log10((self.total + self.distinct + 1.0) / (self.other_total + self.other_distinct + 1.0))
+    def shares(self) -> np.ndarray:
+        """Of each ending log10 of (N + V + 1) over the same for its words that are not frequent: what turns a base score into one within the class."""
+        return math.log10(self.total + self.distinct + 1.0) - np.log10(self.rest.sum(1) + 1.0)
 
-    def tokens(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word its number among the known ones (or -1), and its hash."""
-        hashes = words.hashes()
-        return self.lookup.find(hashes), hashes
+    def codes(self, known: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        return np.where((known >= 0) & (known < self.hot), known, self.hot + 1 + ending)
 
 
 class Network:
-    """Inputs: the token before (hot tokens, then OTHER_INPUTS for the others, then the start of a document)."""
+    """Inputs: the code of the token before (frequent tokens, the end, endings), or the start of a document."""
 
     def __init__(self, v: Vocabulary):
         rnd = np.random.default_rng(20)
         self.v, h = v, HIDDEN
-        self.inputs = v.hot + 1 + OTHER_INPUTS + 1
+        self.inputs = v.hot + 1 + OTHERS + 1
         normal = lambda n, *shape: (rnd.standard_normal(shape) * _ROOTS[n]).astype(np.float32)
         rows = v.size * v.classes
         share = np.full(rows, -20.0)
         share[: len(v.own)] = np.log(v.own + 1)
-        by_class = np.append(np.array([np.logaddexp.reduce(share[i * v.size : (i + 1) * v.size]) for i in range(v.classes)]), math.log(v.other_total + 1))
+        by_class = np.append(np.array([np.logaddexp.reduce(share[i * v.size : (i + 1) * v.size]) for i in range(v.classes)]), np.log(v.rest[:, 0] + 1))
         self.p = {
             "gates": normal("gates", self.inputs, 3 * h),
             "turn": normal("turn", h, 3 * h),
             "words": normal("words", rows, h),
             "word_bias": share.astype(np.float32),
-            "classes": normal("classes", h, v.classes + 1),
+            "classes": normal("classes", h, v.classes + OTHERS),
             "class_bias": (by_class - by_class.max()).astype(np.float32),
         }
+        self.grads: dict[str, np.ndarray] = {}  # of the last window
         self.full = STEPS  # tokens of a window with all lanes
         self.squares = {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
 
+    def whole(self) -> np.ndarray:
+        """The weights as integers."""
+        return np.rint(self.flat().astype(np.float64).clip(-63, 63) * SCALE).astype(np.int64)
+
+    def again(self) -> Network:
+        """A network of the same weights that has not trained yet."""
+        out = Network(self.v)
+        out.load(self.flat())
+        return out
+
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for k, x in self.p.items():
@@ -108,9 +138,9 @@ class Network:
             at += x.size
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, state: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
-        """x, y (steps, lanes): inputs and targets (a hot token's row, -1 another token, -2 none); fresh: where documents start.
+        """x, y (steps, lanes): codes of inputs and of targets (-1: none); fresh: where documents start.
 
-        Returns ln p(class) + ln p(word | class) of each target and the state after the last step; trains if asked to.
+        Returns ln p(class), for a frequent token and ln p(token | class), of each target and the state after the last step; trains if asked to.
         """
         p, v, h = self.p, self.v, HIDDEN
         steps, lanes = x.shape
@@ -128,18 +158,20 @@ class Network:
             states[t] = state
         hidden = np.concatenate(states)
         target = y.ravel()
-        kind = np.where(target >= 0, target // v.size, v.classes)
+        kind = v.class_of[target]  # of none: a class after all others
         logits = hidden @ p["classes"] + p["class_bias"]
         e = np.exp(np.minimum(logits, TOP, out=logits), dtype=logits.dtype)
         total = e.sum(1)
         rows = np.arange(len(target))
-        out = logits[rows, kind] - np.log(total)
+        used = target >= 0
+        told = np.where(used, kind, 0)
+        out = logits[rows, told] - np.log(total)
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(v.classes + 1))
         if train:
-            used = target != -2
-            g = e / total[:, None]
-            g[rows, kind] -= 1
+            g = e
+            g /= total[:, None]
+            g[rows, told] -= 1
             g[~used] = 0
             scale = np.float32(1.0 / max(1, self.full))  # of a full window: a window with few lanes left weighs little
             g *= scale
@@ -153,7 +185,7 @@ class Network:
             s = hidden[own] @ p["words"][part].T + p["word_bias"][part]
             es = np.exp(np.minimum(s, TOP, out=s))
             ts = es.sum(1)
-            at = target[own] - c * v.size
+            at = v.place[target[own]] - c * v.size
             out[own] += s[np.arange(len(own)), at] - np.log(ts)
             if train:
                 gs = es / ts[:, None]
@@ -162,7 +194,7 @@ class Network:
                 grads["words"][part] = gs.T @ hidden[own]
                 grads["word_bias"][part] = gs.sum(0)
                 d_hidden[own] += gs @ p["words"][part]
-        out[target == -2] = 0
+        out[~used] = 0
         if train:
             self._back(x, fresh, before, z_all, r_all, n_all, d_hidden.reshape(steps, lanes, h), grads)
         return out.reshape(steps, lanes), state
@@ -194,23 +226,18 @@ class Network:
         grads["gates"] = gates
         for k, g in grads.items():
             np.clip(g, -1, 1, out=g)
+            self.grads[k] = g
             self.squares[k] += g * g
             p[k] -= np.float32(RATE) * g / np.sqrt(self.squares[k])
 
-    def run(self, known: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, train: bool) -> np.ndarray:
-        """ln p of every token of documents of these lengths (each token: its known number or -1; the end is -3), in order."""
-        v = self.v
-        hot = (known >= 0) & (known < v.hot)
-        ends = known == -3
-        inputs = np.where(ends, v.end, np.where(hot, known, v.hot + 1 + (hashes % np.uint64(OTHER_INPUTS)).astype(np.int64)))
-        number = np.where(ends, v.end, known)
-        targets = np.where(hot | ends, v.place[np.where(hot | ends, number, 0)], -1)
+    def run(self, codes: np.ndarray, lengths: np.ndarray, train: bool) -> np.ndarray:
+        """ln p of every token (see window()) of documents of these lengths, in order."""
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        x = np.empty_like(inputs)
-        x[1:] = inputs[:-1]
+        x = np.empty_like(codes)
+        x[1:] = codes[:-1]
         x[starts] = self.inputs - 1
         # Documents to lanes, longest first, each to the lane that is shortest so far.
-        lanes = int(max(1, min(LANES, len(lengths), len(known) // LANE_TOKENS)))
+        lanes = int(max(1, min(LANES, len(lengths), len(codes) // LANE_TOKENS)))
         heap = [(0, i) for i in range(lanes)]
         queue: list[list[int]] = [[] for _ in range(lanes)]
         for d in np.argsort(-lengths, kind="stable").tolist():
@@ -221,9 +248,9 @@ class Network:
         stream = np.concatenate([np.arange(starts[d], starts[d] + lengths[d]) for i in order for d in queue[i]])
         full = np.array([sum(int(lengths[d]) for d in queue[i]) for i in order])
         begin = np.concatenate(([0], np.cumsum(full)))[:-1]
-        is_start = np.zeros(len(known), bool)
+        is_start = np.zeros(len(codes), bool)
         is_start[starts] = True
-        out = np.zeros(len(known), np.float64)
+        out = np.zeros(len(codes), np.float64)
         self.full = lanes * STEPS
         state = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, int(full[0]), STEPS):
@@ -231,27 +258,31 @@ class Network:
             place = t + np.arange(STEPS)[:, None]
             inside = place < full[:active]
             at = stream[np.where(inside, begin[:active] + place, 0)]
-            wide = np.where(inside, targets[at], -2)
+            wide = np.where(inside, codes[at], -1)
             got, state = self.window(np.where(inside, x[at], self.inputs - 1), wide, is_start[at] & inside, state[:active], train)
             out[at[inside]] = got[inside]
         return out
 
 
 def chunks(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple]:
-    """Documents in runs of about CHUNK_TOKENS tokens: rows, known numbers and hashes of all tokens with the ends, lengths."""
+    """Documents in runs of about CHUNK_TOKENS tokens: rows; known numbers (-1: not known, -3: the end), codes and hashes of all tokens with the ends; lengths."""
     parts, size = [], 0
+
+    def out() -> tuple:
+        return [p for p, *_ in parts], *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+
     for batch in batches:
         for part in slices(batch, "text"):
             words = Words(part.column("text"), lower=True)
-            known, hashes = v.tokens(words)
-            at = words.first[1:]
-            parts.append((part, np.insert(known, at, -3), np.insert(hashes, at, np.uint64(0)), words.counts + 1))
+            hashes, at = words.hashes(), words.first[1:]
+            known = v.lookup.find(hashes)
+            parts.append((part, np.insert(known, at, -3), np.insert(v.codes(known, endings(words)), at, v.end), np.insert(hashes, at, np.uint64(0)), words.counts + 1))
             size += len(parts[-1][1])
             if size >= CHUNK_TOKENS:
-                yield [p for p, *_ in parts], *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+                yield out()
                 parts, size = [], 0
     if size:
-        yield [p for p, *_ in parts], *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        yield out()
 
 
 def in_training() -> object:
@@ -259,49 +290,99 @@ def in_training() -> object:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """token, c over all rows; each run of rows is counted before it is shuffled."""
+    """token, c, ending over all rows; each run of rows is counted before it is shuffled."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
-                tokens, n = np.unique(Words(part.column("text"), lower=True).hashes(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "c"])
+            for part in slices(batch, "text", 8 << 20):
+                words = Words(part.column("text"), lower=True)
+                tokens, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n), pa.array(endings(words)[first].astype(np.int32))], ["token", "c", "ending"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "token bigint, c bigint, ending int").groupBy("token").agg(F.sum("c").alias("c"), F.min("ending").alias("ending"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> pa.Table:
-    """The tokens from the least count on of which no more than so many have it, by falling count. No task gets them all."""
+def most_frequent(counts: DataFrame, most: int, fill: bool = False) -> pa.Table:
+    """The tokens from the least step of counts on of which no more than so many are there; with fill also, by their hash, a
+    share of those in the step below, so that about as many come. No task gets them all."""
     step = F.floor(F.log2("c") * 16).cast("int")
-    left, least = most, None
+    left, wanted = most, F.lit(False)
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 16 * 64 rows
-        left -= r["count"]
-        if left < 0:
+        if r["count"] > left:
+            share = int((1 << 20) * 0.95 * left / r["count"])
+            wanted = wanted | ((step == r["step"]) & (F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < share)) if fill else wanted
             break
-        least = r["step"]
-    got = counts.where(step >= least) if least is not None else counts.limit(0)
-    return got.toArrow().sort_by([("c", "descending"), ("token", "ascending")])
+        left -= r["count"]
+        wanted = wanted | (step >= r["step"]) if r["step"] is not None else wanted
+    return counts.where(wanted).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
 
 
-def trained(docs: DataFrame, v: Vocabulary) -> Network:
-    """The average of the networks that tasks trained, weighted by their tokens."""
-    network = Network(v)
-    sent = docs.sparkSession.sparkContext.broadcast(network)
+def encoded(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
+    """shard, place (its order there), codes (two bytes a token, with the end) of every document."""
+    sent = docs.sparkSession.sparkContext.broadcast(v)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Network(sent.value.v), 0
-        for _, known, hashes, lengths in chunks(batches, own.v):
-            own.run(known, hashes, lengths, True)
-            seen += len(known)
-        if seen:
-            flat = own.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], ["i", "x"])
-
-    got = docs.select("text").mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    if got.num_rows:
-        sums = np.empty(got.num_rows)
-        sums[got["i"].to_numpy()] = got["x"].to_numpy()
-        network.load(sums[:-1] / sums[-1])
+        for parts, _, codes, _, lengths in chunks(batches, sent.value):
+            at = np.concatenate(([0], np.cumsum(lengths)))
+            small = codes.astype(np.uint16)
+            for p in parts:
+                rows = [small[i:j].tobytes() for i, j in zip(at[: p.num_rows], at[1 : p.num_rows + 1], strict=True)]
+                at = at[p.num_rows :]
+                yield pa.RecordBatch.from_arrays([p.column("shard"), p.column("place"), pa.array(rows, pa.binary())], ["shard", "place", "codes"])
+
+    place = F.xxhash64("doc_id", "text")
+    return docs.select("text", F.pmod(place, F.lit(shards)).alias("shard"), F.shiftrightunsigned(place, 8).alias("place")).mapInArrow(run, "shard bigint, place bigint, codes binary")
+
+
+def shard_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """shard and documents, in runs of about CHUNK_TOKENS tokens; where they are cut depends on the shard alone."""
+    now, docs, size = None, [], 0
+    for batch in batches:
+        for shard, codes in zip(batch.column("shard").to_pylist(), batch.column("codes"), strict=True):
+            if docs and (shard != now or size >= CHUNK_TOKENS):
+                yield now, docs
+                docs, size = [], 0
+            now = shard
+            docs.append(np.frombuffer(codes.as_buffer().to_pybytes(), np.uint16))
+            size += len(docs[-1])
+    if docs:
+        yield now, docs
+
+
+def trained(docs: DataFrame, v: Vocabulary) -> Network:
+    """The network after ROUNDS rounds over the shards of all training documents."""
+    spark = docs.sparkSession
+    network = Network(v)
+    shards = max(1, v.total // SHARD_TOKENS)
+    rounds = min(ROUNDS, shards)
+    codes = written(spark, encoded(docs, v, shards), "codes")
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(network)
+
+        @released
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            last, own, n = None, None, 0
+            total = np.zeros(len(sent.value.flat()), np.int64)
+            for shard, docs in shard_chunks(batches):
+                if shard != last:
+                    if own is not None:
+                        total += own.whole()
+                    last, own, n = shard, sent.value.again(), n + 1
+                own.run(np.concatenate(docs).astype(np.int64), np.array([len(d) for d in docs]), True)
+            if own is not None:
+                total += own.whole()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1)), pa.array(np.append(total, n))], ["i", "x"])
+
+        dealt = codes.where(F.col("shard") % rounds == k).repartition("shard").sortWithinPartitions("shard", "place", "codes")
+        got = dealt.mapInArrow(run, "i bigint, x bigint").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        if got.num_rows:
+            sums = np.empty(got.num_rows, np.int64)
+            sums[got["i"].to_numpy()] = got["x"].to_numpy()
+            network.load(sums[:-1] / (float(SCALE) * sums[-1]))
+        sent.unpersist()
+    forget(codes)
     return network
 
 
@@ -316,25 +397,30 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = written(spark, word_counts(learn), "counts")
     ends = learn.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = most_frequent(counts, KNOWN)
-    v = Vocabulary(top["token"].to_numpy().view(np.uint64), top["c"].to_numpy(), total + ends, distinct + (ends > 0), ends)
+    top = most_frequent(counts, KNOWN, fill=True)
+    by_ending = np.zeros((OTHERS, 2), np.int64)
+    for r in counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # OTHERS rows at most
+        by_ending[r["ending"]] = r["c"], r["n"]
+    v = Vocabulary(top["token"].to_numpy().view(np.uint64), top["c"].to_numpy(), top["ending"].to_numpy(), total + ends, distinct + (ends > 0), ends, by_ending)
     sent = spark.sparkContext.broadcast((trained(learn, v), ends))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         network, ends = sent.value
         v = network.v
+        shares = v.shares()
         row = TaskContext.get().partitionId() << 40
-        for parts, known, hashes, lengths in chunks(batches, v):
+        for parts, known, codes, hashes, lengths in chunks(batches, v):
             first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
             add = lambda x, first=first: np.add.reduceat(x, first)
-            ln = network.run(known, hashes, lengths, False)
+            ln = network.run(codes, lengths, False)
             c = np.where(known >= 0, v.counts[np.maximum(known, 0)] if len(v.counts) else 0, np.where(known == -3, ends, 0))
             far = known == -1
             base = np.where(far, 0.0, v.base(c))
-            other = (known >= v.hot) | far
-            score = ln / math.log(10) + np.where(other, base + v.other_share(), 0.0)
+            other = codes > v.end
+            score = ln / math.log(10) + np.where(other, base + shares[np.where(other, codes - v.end - 1, 0)], 0.0)
             ids = np.arange(row, row + len(lengths))
             row += len(lengths)
             columns = {

@@ -45,7 +45,73 @@ def test_documents(spark, monkeypatch, known):
 def test_the_model_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     base, score, n = scores(docs).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
-    assert score > base + 0.01 * n
+    assert score > base + 0.1 * n
+
+
+def test_the_model_does_not_depend_on_how_rows_are_partitioned(spark, monkeypatch):
+    monkeypatch.setattr(gated_lm, "SHARD_TOKENS", 9_000)
+    monkeypatch.setattr(gated_lm, "CHUNK_TOKENS", 4_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in scores(docs.repartition(k)).collect()} for k in (1, 8))
+    assert len(one) == 200 and all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
+
+
+def plain_scores(net, text_codes):
+    """ln p of each token of one document, one at a time, in double precision."""
+    p, v, h = {k: x.astype(float) for k, x in net.p.items()}, net.v, gated_lm.HIDDEN
+    state, x, out = np.zeros(h), net.inputs - 1, []
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for y in text_codes:
+        pre = p["gates"][x]
+        z, r = sigmoid(pre[:h] + state @ p["turn"][:, :h]), sigmoid(pre[h : 2 * h] + state @ p["turn"][:, h : 2 * h])
+        new = np.tanh(pre[2 * h :] + (r * state) @ p["turn"][:, 2 * h :])
+        state = z * state + (1 - z) * new
+        logits = state @ p["classes"] + p["class_bias"]
+        kind = v.class_of[y]
+        ln = logits[kind] - np.log(np.exp(logits).sum())
+        if y <= v.end:
+            own = slice(kind * v.size, (kind + 1) * v.size)
+            s = p["words"][own] @ state + p["word_bias"][own]
+            ln += s[v.place[y] - kind * v.size] - np.log(np.exp(s).sum())
+        out.append(ln)
+        x = y
+    return np.array(out)
+
+
+def test_scores_equal_a_plain_scorer():
+    rnd = np.random.default_rng(4)
+    net = network()
+    codes = rnd.integers(0, net.v.end + gated_lm.OTHERS, 900)
+    lengths = np.array([1, 300, 7, 90, 2, 500])
+    net.run(codes, lengths, True)
+    got, at = net.run(codes, lengths, False), 0
+    for n in lengths:
+        assert np.allclose(got[at : at + n], plain_scores(net, codes[at : at + n]), atol=1e-3)
+        at += n
+
+
+def test_document_probabilities_sum_to_one_over_words(spark):
+    """Of a document of one word: over all seen words, and all unseen ones by their endings, the probabilities sum to one."""
+    seen = ["aa ab ac", "aa aa", "ab ad zz", "q"]
+    words = ["aa", "ab", "ac", "ad", "zz", "q"]
+    rows = [(i, x) for i, x in zip((i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2), seen)]
+    held = [i for i in range(100, 999) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = spark.createDataFrame(rows + list(zip(held, [*words, ""])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in scores(docs).collect()}
+    first = [10 ** got[i]["score"] for i in held[: len(words)]]
+    assert 0 < sum(first) < 1 and all(got[i]["n_known"] == 2 for i in held[: len(words)])
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y")] * 3 + [(2, "a", "x", "y")], "doc_id bigint, text string, shard string, place string")
+    got = scores(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 1, 2] and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_a_vocabulary_of_equal_counts_is_not_empty(spark):
+    counts = spark.range(4000).selectExpr("id * 7919 as token", "cast(5 as bigint) as c")
+    assert gated_lm.most_frequent(counts, 1000).num_rows == 0
+    assert 800 < gated_lm.most_frequent(counts, 1000, fill=True).num_rows <= 1000
 
 
 def test_edge_cases_and_empty_table(spark, edge, edge_texts, empty):
@@ -59,37 +125,37 @@ def test_no_training_rows(spark):
     assert [(r["base_score"], r["n_known"], r["train_tokens"]) for r in rows] == [(0.0, 0, 0)] * 3
 
 
-def network(hot=12, lanes=4):
-    v = Vocabulary(np.arange(1, 40, dtype=np.uint64) * np.uint64(7919), np.arange(60, 21, -1), 3000, 50, 20, hot)
+def network(hot=12):
+    n = np.arange(60, 21, -1)
+    by_ending = np.stack([np.full(gated_lm.OTHERS, 90), np.full(gated_lm.OTHERS, 9)], 1)
+    v = Vocabulary(np.arange(1, 40, dtype=np.uint64) * np.uint64(7919), n, np.arange(39) % gated_lm.OTHERS, 3000, 50, 20, by_ending, hot)
     return Network(v)
 
 
 def test_probabilities_sum_to_one():
     net = network()
-    v = net.v
     state = np.ones((1, gated_lm.HIDDEN), np.float32) * 0.3
-    p = [net.window(np.zeros((1, 1), int), np.array([[t]]), np.zeros((1, 1), bool), state, False)[0][0, 0] for t in [*range(len(v.own)), -1]]
+    p = [net.window(np.zeros((1, 1), int), np.array([[t]]), np.zeros((1, 1), bool), state, False)[0][0, 0] for t in range(net.v.end + 1 + gated_lm.OTHERS)]
     assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_scores_do_not_depend_on_lanes_or_windows(monkeypatch):
     rnd = np.random.default_rng(0)
     lengths = np.array([1, 5, 90, 33, 2, 17, 64, 1])
-    known = rnd.integers(-1, 39, lengths.sum())
-    known[np.cumsum(lengths) - 1] = -3
-    hashes = rnd.integers(0, 2**60, len(known)).astype(np.uint64)
+    codes = rnd.integers(0, 12 + gated_lm.OTHERS, lengths.sum())
     want = None
     for lanes, steps in ((1, 1), (3, 7), (8, 16)):
         monkeypatch.setattr(gated_lm, "LANES", lanes)
         monkeypatch.setattr(gated_lm, "STEPS", steps)
-        got = network().run(known, hashes, lengths, False)
+        got = network().run(codes, lengths, False)
         want = got if want is None else want
         assert np.allclose(got, want, atol=1e-4)
 
 
 def test_gradients_are_those_of_finite_differences():
     rnd = np.random.default_rng(2)
-    x, y = rnd.integers(0, 20, (5, 3)), rnd.integers(-2, 10, (5, 3))
+    x, y = rnd.integers(0, 20, (5, 3)), rnd.integers(-1, 12 + gated_lm.OTHERS, (5, 3))
+    y[0], y[1, 0] = (0, 5, 11), -1
     fresh = rnd.random((5, 3)) < 0.2
     state = rnd.standard_normal((3, gated_lm.HIDDEN)).astype(np.float32)
     net = network()
@@ -97,10 +163,8 @@ def test_gradients_are_those_of_finite_differences():
     before = {k: p.copy() for k, p in net.p.items()}
     net.full = 15
     loss = lambda: -net.window(x, y, fresh, state, False)[0].sum() / net.full
-    net.squares = {k: np.zeros_like(p) for k, p in net.p.items()}
     net.window(x, y, fresh, state, True)
-    slope = {k: np.sqrt(s) for k, s in net.squares.items()}
-    sign = {k: -np.sign(net.p[k] - before[k]) for k in net.p}
+    grads = dict(net.grads)
     for k, p in before.items():
         net.p = {n: q.copy() for n, q in before.items()}
         for _ in range(12):
@@ -112,5 +176,4 @@ def test_gradients_are_those_of_finite_differences():
             net.p[k][at] = p[at] - 1e-5
             down = loss()
             net.p[k][at] = p[at]
-            g = slope[k][at] * np.nan_to_num(sign[k][at])
-            assert g == pytest.approx((up - down) / 2e-5, abs=2e-4), k
+            assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=2e-4), k
