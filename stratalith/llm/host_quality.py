@@ -5,8 +5,10 @@ table (no texts), which then gives the failure rate of each host (source) by a p
 by moments to the rates of all hosts shrinks each rate: few documents say little about a host. A host whose shrunken rate
 minus two posterior deviations is above max_rate is refused with all its documents.
 
-Nulls: a null text has no words (so it fails for its length); rows without a source are judged alone. Repeated rows count
-each. An empty table gives an empty result. Extra columns are ignored.
+Nulls: a null text has no words (so it fails for its length); rows without a source are judged alone. Empty texts likewise.
+Repeated rows count each. Ties: a host exactly at max_rate is kept. Long texts are one array of words and one of window hashes
+of their row. Hosts with more than a thousandth of all rows get their verdict by broadcast (there are at most a thousand), so
+that a host with a third of all rows lies in no single task. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import spread_join, table, written
 
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -59,11 +61,11 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     real = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("w"), F.lit(1e-6))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(1e4), F.col("m") * (1 - F.col("m")) / real - 1))
     prior = moments.select(F.struct((F.col("m") * weight).alias("a"), ((1 - F.col("m")) * weight).alias("b")).alias("prior"))
-    shrunk = hosts.withColumn("prior", prior.scalar()).select("source", (F.col("bad") + F.col("prior.a")).alias("a"), (F.col("n") - F.col("bad") + F.col("prior.b")).alias("b"))
+    shrunk = hosts.withColumn("prior", prior.scalar()).select("source", "n", (F.col("bad") + F.col("prior.a")).alias("a"), (F.col("n") - F.col("bad") + F.col("prior.b")).alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     spread = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    verdicts = shrunk.select("source", F.round(mean, 9).alias("host_rate"), (mean - 2 * spread > max_rate).alias("refused"))
-    return own.join(verdicts, "source", "left").select(
+    verdicts = shrunk.select("source", "n", F.round(mean, 9).alias("host_rate"), (mean - 2 * spread > max_rate).alias("refused"))
+    return spread_join(own, verdicts, "source", "n", own.count()).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("refused", F.lit(False))).alias("kept"), "host_rate"
     )
 

@@ -5,8 +5,12 @@ holds at most its share of the rows (counts differ by one at most); what overflo
 next arc whose shard has room. How much flows where is decided on the counts of the arcs (shards * virtual nodes numbers,
 however many rows there are); which rows flow, and each row's slot, follows from its rank in its arc.
 
-Nulls: a null text has no bytes and CRC 0; a row without an id hashes by its text. Repeated rows are placed one by one.
-An empty table gives an empty result. Other columns are ignored.
+Rows equal in doc_id, CRC and size are one group with a count, pre-aggregated, which takes as many slots; a large group is dealt
+out in pieces of PIECE rows, so that an id which a third of all rows share lies in no single task.
+
+Nulls: a null text has no bytes and CRC 0; a row without an id hashes by its text. Repeated rows are placed one by one. Ties:
+keys with one hash are ranked by doc_id, CRC and size. Of long texts only length and CRC are taken. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
-CELLS = 65536
+CELLS, PIECE = 65536, 65536
 
 
 def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -75,26 +79,29 @@ def shard(docs: DataFrame, shards: int = 24, nodes: int = 128) -> DataFrame:
     points = ring(shards, nodes)
     arc_of = F.split(F.lit(",".join(map(str, arcs(points)))), ",").cast("array<int>")
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
-    keyed = docs.withColumns({"_key": key}).withColumns({"_arc": F.element_at(arc_of, (F.pmod("_key", F.lit(CELLS)) + 1).cast("int"))})
-    counts = {r["_arc"]: r["count"] for r in keyed.groupBy("_arc").count().collect()}  # shards * nodes rows at most
-    runs = [dict(zip(("_arc", "low", "shard", "base"), r, strict=True)) for r in flow(points, counts, shards)]
-    by_arc: dict[int, list[dict]] = {}
-    for r in sorted(runs, key=lambda r: (r["_arc"], r["low"])):
-        if r["_arc"] in by_arc:
-            by_arc[r["_arc"]][-1]["high"] = r["low"]
-        by_arc.setdefault(r["_arc"], []).append(r)
-    kind = "array<struct<_arc int, low bigint, high bigint, shard int, base bigint>>"
-    placed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(runs)), kind)))
-    rows = keyed.select(
+    rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 8).alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("bigint")).alias("text_crc32"),
-        "_key",
-        "_arc",
+        key.alias("key"),
     )
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_key", "doc_id", "text_crc32", "size")) - 1)
-    at = F.col("_rank")
-    both = ranked.join(F.broadcast(placed), "_arc").where((at >= F.col("low")) & (F.col("high").isNull() | (at < F.col("high"))))  # at most shards * nodes + 2 * shards runs
+    groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("arc", F.element_at(arc_of, (F.pmod("key", F.lit(CELLS)) + 1).cast("int")))
+    groups = written(spark, groups, "ring")
+    counts = {r["arc"]: r["n"] for r in groups.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards * nodes rows at most
+    runs = [dict(zip(("arc", "low", "shard", "base"), r, strict=True)) for r in flow(points, counts, shards)]
+    by_arc: dict[int, list[dict]] = {}
+    for r in sorted(runs, key=lambda r: (r["arc"], r["low"])):
+        if r["arc"] in by_arc:
+            by_arc[r["arc"]][-1]["high"] = r["low"]
+        by_arc.setdefault(r["arc"], []).append(r)
+    kind = "array<struct<arc int, low bigint, high bigint, shard int, base bigint>>"
+    placed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(runs)), kind)))
+    before = F.sum("n").over(Window.partitionBy("arc").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = groups.withColumn("rank", F.coalesce(before, F.lit(0))).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(PIECE).cast("bigint"))))
+    pieces = pieces.repartition("key", "piece")
+    each = pieces.withColumn("at", F.explode(F.sequence(F.col("rank") + F.col("piece"), F.col("rank") + F.least(F.col("n"), F.col("piece") + PIECE) - 1)))
+    at = F.col("at")
+    both = each.join(F.broadcast(placed), "arc").where((at >= F.col("low")) & (F.col("high").isNull() | (at < F.col("high"))))  # at most shards * nodes + 2 * shards runs
     return both.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + at - F.col("low")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

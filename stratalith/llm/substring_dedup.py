@@ -14,7 +14,10 @@ Shared anchors reach the documents as a Bloom filter of bounded size (a false hi
 beyond MAX_BLOOM anchors by joins on the anchor and on doc_id.
 
 Nulls: a null text has no words. A row without doc_id has no smaller document and is smaller than none: nothing goes. Rows
-that repeat a doc_id are judged alike and never against each other. Empty table: empty result. Extra columns are ignored.
+that repeat a doc_id are judged alike and never against each other. Empty texts and those of fewer words than a window lose
+nothing. Ties: of equal windows only those of the smallest doc_id stay. Long texts are hashed whole, one at a time beyond a
+megabyte. A text that more than a thousandth of all rows share finds its least doc_id by broadcast (there are at most a
+thousand such texts). Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Words, slices, windows
-from .shared import Bloom, table, written
+from .kernel import Words, released, slices, windows
+from .shared import HOT_KEYS, Bloom, table, written
 
 WINDOW, PERIOD = 50, 31
 MAX_BLOOM = 16_000_000
@@ -90,6 +93,7 @@ def anchor_rows(docs: DataFrame, window: int, period: int, twice: Bloom | None =
     """h, doc_id, place of every anchor."""
     sent = docs.sparkSession.sparkContext.broadcast(twice)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(without(batch, sent.value), "text"):
@@ -104,6 +108,7 @@ def anchor_hashes(docs: DataFrame, window: int, period: int, twice: Bloom | None
     """h of every anchor, once for each document that has it."""
     sent = docs.sparkSession.sparkContext.broadcast(twice)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(without(batch, sent.value), "text"):
@@ -122,6 +127,7 @@ def only(rows: DataFrame, wanted: Bloom) -> DataFrame:
     """The rows whose h the filter has."""
     sent = rows.sparkSession.sparkContext.broadcast(wanted)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.has(batch.column("h").to_numpy().view(np.uint64))))
@@ -142,6 +148,7 @@ def parted(docs: DataFrame, window: int, period: int, shared: Bloom | None, twic
     def made(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, twice = sent.value
         for batch in batches:
@@ -184,6 +191,7 @@ FOUND = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 def cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
     """texts (doc_id, text, places of repeated windows) without the words of these windows."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, sums, kept = [], [], [], []
@@ -214,16 +222,21 @@ def copies_apart(docs: DataFrame) -> tuple[DataFrame, Bloom, DataFrame]:
     own = docs.withColumn("_x", F.xxhash64("text"))
     keyed = own.select("doc_id", "_x", F.md5(F.col("text").cast("binary")).alias("_key"))
     twice = keyed.where("doc_id is not null and _key is not null").groupBy("_key").agg(F.min("doc_id").alias("least"), F.first("_x").alias("_x"), F.count("*").alias("c")).where("c > 1")
-    twice = written(spark, twice.select("_key", "least", "_x"), "copied-texts")
+    twice = written(spark, twice, "copied-texts")
     found = Bloom.of(twice, "_x", min(27, max(16, (16 * twice.count()).bit_length())))
     sent = spark.sparkContext.broadcast(found)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield without(batch, sent.value, keep=True)
 
     maybe = own.mapInArrow(run, own.schema).withColumn("_key", F.md5(F.col("text").cast("binary")))
-    least = maybe.join(twice.select("_key", "least"), "_key", "left").select("doc_id", "text", F.coalesce("least", "doc_id").alias("least"))
+    is_hot = F.col("c") * HOT_KEYS > docs.count()
+    hot = maybe.join(F.broadcast(twice.where(is_hot).select("_key", F.col("least").alias("_hot"))), "_key", "left")
+    hot = hot.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
+    least = hot.join(twice.where(~is_hot).select("_key", "least", F.lit(0).cast("bigint").alias("_salt")), ["_key", "_salt"], "left")
+    least = least.select("doc_id", "text", F.coalesce("_hot", "least", "doc_id").alias("least"))
     return own, found, written(spark, least, "copies")
 
 

@@ -6,11 +6,13 @@ read() takes the members by that index alone. An archive is a row (name, bytes);
 folder, so any store that Spark writes will do and a repeated task leaves no half-written file.
 
 Of pages with equal payloads (of at least min_bytes) the one with the largest page_id is the response and the others revisit
-it; rows that repeat the largest are responses too. The largest id of a payload comes from a pre-aggregated group-by; pages
-get theirs by page_id, not by payload, so a payload that a third of all pages share lies on no single task.
+it; rows that repeat the largest are responses too. The largest id of a payload comes from a pre-aggregated group-by over a
+written table of ids and digests. A payload that more than a thousandth of all pages share goes out by broadcast (there are at
+most a thousand), and pages get their roles by page_id and digest, so such a payload lies on no single task.
 
 Nulls: a null html is an empty payload; a null url leaves out the target; rows without a page_id revisit the largest id of
-their payload, or are responses where there is none. An empty table gives no archives. Extra columns are ignored.
+their payload, or are responses where there is none. Repeated rows are written each. Long payloads are one record each, held
+whole while they are packed. An empty table gives no archives. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .kernel import released
+from .shared import spread_join, table, written
 
 ARCHIVE_BYTES = 4 << 20
 LEVEL = 3
@@ -132,12 +135,14 @@ def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYT
     """archive, content: whole-file gzip streams with one record per page."""
     html = F.coalesce("html", F.lit(""))
     known = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha1("html"))
-    slim = known.select("page_id", "digest", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= min_bytes)
-    last = slim.groupBy("digest").agg(F.max("page_id").alias("last"))
-    roles = slim.select("page_id", "digest").distinct().join(last, "digest").where("last is not null and (page_id is null or page_id < last)")
+    slim = known.select("page_id", "digest").where(F.octet_length("html") >= min_bytes)
+    slim = written(pages.sparkSession, slim.distinct(), "digests")
+    last = slim.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("ids")).where("last is not null and ids > 1")
+    roles = spread_join(slim, last, "digest", "ids", slim.count(), "inner").where("page_id is null or page_id < last")
     roles = roles.select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), "last")
     dealt = known.join(roles, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

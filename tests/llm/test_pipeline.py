@@ -72,4 +72,23 @@ def test_edge_cases(spark, edge, tmp_path):
     os.makedirs(tmp_path / "d")
     spark.read.parquet(f"{DIR}/benchmark.parquet").write.parquet(str(tmp_path / "d/benchmark.parquet"))
     edge.write.parquet(str(tmp_path / "d/documents.parquet"))
-    assert cp.run(spark, str(tmp_path / "d")).count() > 5
+    items = [tuple(r) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text").collect()]
+    known = [(r["doc_id"], r["text"]) for r in edge.collect() if has_letter(r["text"])]
+    groups = components([x for _, x in known], 5, 80)
+    kept = [known[k] for k, (n, c) in sorted(groups.items()) if c == k or n == 0]
+    lib, want = library(), {}
+    for i, text in kept:
+        assert contaminated(text, items, 10)[1] == 0 and not base_spans(text)
+        want[i] = len(lib.encode(text, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["n_tokens"] for r in cp.run(spark, str(tmp_path / "d")).collect()} == want
+
+
+def test_rows_without_ids_and_repeated_rows(spark, tmp_path):
+    os.makedirs(tmp_path / "d")
+    spark.read.parquet(f"{DIR}/benchmark.parquet").write.parquet(str(tmp_path / "d/benchmark.parquet"))
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("a")), (1, text("b")), (1, text("b")), (1, text("c")), (2, text("b") + " end"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "d/documents.parquet"))
+    got = cp.run(spark, str(tmp_path / "d")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(i), len(library().encode(x, add_special_tokens=False).ids)) for i, x in ((None, text("a")), (1, text("b")), (1, text("c"))))
