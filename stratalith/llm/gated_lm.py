@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .kernel import Lookup, Words, mixed, released, slices
 from .shared import forget, table, written
 
-HOT, CLASSES, OTHERS, HIDDEN = 768, 24, 96, 24
-KNOWN = 1 << 18
+HOT, CLASSES, OTHERS, HIDDEN = 512, 16, 48, 16
+KNOWN = 1 << 20
 STEPS, LANES, RATE = 16, 384, 0.3
 SHARD_TOKENS, ROUNDS = 1 << 22, 3
 #: Weights are added as integers of this scale; a sum over 2^24 shards of weights below 64 fits.
@@ -114,7 +114,7 @@ class Network:
             "classes": normal("classes", h, v.classes + OTHERS),
             "class_bias": (by_class - by_class.max()).astype(np.float32),
         }
-        self.grads: dict[str, np.ndarray] = {}  # of the last window
+        self.grads: dict[str, tuple] = {}  # of the last window: rows and their gradients
         self.full = STEPS  # tokens of a window with all lanes
         self.squares = {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
 
@@ -144,91 +144,114 @@ class Network:
         """
         p, v, h = self.p, self.v, HIDDEN
         steps, lanes = x.shape
-        pre = p["gates"][x]
-        before, z_all, r_all, n_all, states = ([None] * steps for _ in range(5))
+        pre = p["gates"].take(x, 0)
+        before, zr_all, n_all, states = (np.empty((steps, lanes, k), p["gates"].dtype) for k in (h, 2 * h, h, h))
         u_gate, u_new = p["turn"][:, : 2 * h], p["turn"][:, 2 * h :]
+        anew = fresh.any(1)
         for t in range(steps):
-            if fresh[t].any():
+            if anew[t]:
                 state = np.where(fresh[t][:, None], np.float32(0), state)
-            zr = 0.5 * np.tanh(0.5 * (pre[t, :, : 2 * h] + state @ u_gate)) + 0.5
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(pre[t, :, 2 * h :] + (r * state) @ u_new)
-            before[t], z_all[t], r_all[t], n_all[t] = state, z, r, n
-            state = n + z * (state - n)
+            zr, n = zr_all[t], n_all[t]
+            np.add(pre[t, :, : 2 * h], state @ u_gate, out=zr)
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.add(pre[t, :, 2 * h :], (zr[:, h:] * state) @ u_new, out=n)
+            np.tanh(n, out=n)
+            before[t] = state
+            state = n + zr[:, :h] * (state - n)
             states[t] = state
-        hidden = np.concatenate(states)
+        hidden = states.reshape(-1, h)
         target = y.ravel()
         kind = v.class_of[target]  # of none: a class after all others
-        logits = hidden @ p["classes"] + p["class_bias"]
-        e = np.exp(np.minimum(logits, TOP, out=logits), dtype=logits.dtype)
-        total = e.sum(1)
-        rows = np.arange(len(target))
         used = target >= 0
         told = np.where(used, kind, 0)
-        out = logits[rows, told] - np.log(total)
+        rows = np.arange(len(target))
+        e, out, total = self._softmax(hidden, p["classes"], p["class_bias"], told)
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(v.classes + 1))
+        scale = 1.0 / max(1, self.full)  # of a full window: a window with few lanes left weighs little
         if train:
-            g = e
-            g /= total[:, None]
-            g[rows, told] -= 1
-            g[~used] = 0
-            scale = np.float32(1.0 / max(1, self.full))  # of a full window: a window with few lanes left weighs little
-            g *= scale
-            grads = {"classes": hidden.T @ g, "class_bias": g.sum(0), "words": np.zeros_like(p["words"]), "word_bias": np.zeros_like(p["word_bias"])}
-            d_hidden = g @ p["classes"].T
+            each = np.where(used, scale, 0).astype(e.dtype)
+            e *= (each / total)[:, None]
+            e[rows, told] -= each
+            grads = {"classes": hidden.T @ e, "class_bias": np.ones(len(e), e.dtype) @ e, "words": np.zeros_like(p["words"]), "word_bias": np.zeros_like(p["word_bias"])}
+            d_hidden = e @ p["classes"].T
         for c in range(v.classes):
             own = order[cuts[c] : cuts[c + 1]]
             if not len(own):
                 continue
             part = slice(c * v.size, (c + 1) * v.size)
-            s = hidden[own] @ p["words"][part].T + p["word_bias"][part]
-            es = np.exp(np.minimum(s, TOP, out=s))
-            ts = es.sum(1)
+            near = hidden[own]
             at = v.place[target[own]] - c * v.size
-            out[own] += s[np.arange(len(own)), at] - np.log(ts)
+            es, ln, ts = self._softmax(near, p["words"][part].T, p["word_bias"][part], at)
+            out[own] += ln
             if train:
-                gs = es / ts[:, None]
-                gs[np.arange(len(own)), at] -= 1
-                gs *= scale
-                grads["words"][part] = gs.T @ hidden[own]
-                grads["word_bias"][part] = gs.sum(0)
-                d_hidden[own] += gs @ p["words"][part]
+                es *= (scale / ts)[:, None]
+                es[rows[: len(own)], at] -= es.dtype.type(scale)
+                grads["words"][part] = es.T @ near
+                grads["word_bias"][part] = es.sum(0)
+                d_hidden[own] += es @ p["words"][part]
         out[~used] = 0
         if train:
-            self._back(x, fresh, before, z_all, r_all, n_all, d_hidden.reshape(steps, lanes, h), grads)
+            self._back(x, fresh, before, zr_all, n_all, d_hidden.reshape(steps, lanes, h), grads)
         return out.reshape(steps, lanes), state
 
-    def _back(self, x, fresh, before, z_all, r_all, n_all, d_hidden, grads) -> None:
+    @staticmethod
+    def _softmax(hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """exp of the logits, ln p of the places asked for, sums of the rows."""
+        logits = hidden @ weights
+        logits += bias
+        # States lie in (-1, 1), so this bounds every logit; only where it is passed are they cut.
+        if (np.abs(weights).sum(0) + bias).max() > TOP:
+            np.minimum(logits, TOP, out=logits)
+        ln = logits[np.arange(len(at)), at]
+        e = np.exp(logits, out=logits)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        return e, ln - np.log(total), total
+
+    def _back(self, x, fresh, before, zr_all, n_all, d_hidden, grads) -> None:
         p, h = self.p, HIDDEN
         steps, lanes = x.shape
-        u_gate, u_new = p["turn"][:, : 2 * h], p["turn"][:, 2 * h :]
-        d_pre = np.empty((steps, lanes, 3 * h), np.float32)
-        d_state = np.zeros((lanes, h), np.float32)
+        u_gate, u_new = p["turn"][:, : 2 * h].T, p["turn"][:, 2 * h :].T
+        z, r = zr_all[:, :, :h], zr_all[:, :, h:]
+        to_new, to_z, to_r = (1 - z) * (1 - n_all * n_all), (before - n_all) * z * (1 - z), before * r * (1 - r)
+        d_pre = np.empty((steps, lanes, 3 * h), before.dtype)
+        d_state, anew = np.zeros((lanes, h), before.dtype), fresh.any(1)
         for t in range(steps - 1, -1, -1):
-            s, z, r, n = before[t], z_all[t], r_all[t], n_all[t]
             d = d_hidden[t] + d_state
-            dn = d * (1 - z) * (1 - n * n)
-            d_rs = dn @ u_new.T
-            d_pre[t, :, :h] = d * (s - n) * z * (1 - z)
-            d_pre[t, :, h : 2 * h] = d_rs * s * r * (1 - r)
+            dn = d * to_new[t]
+            d_rs = dn @ u_new
+            d_pre[t, :, :h] = d * to_z[t]
+            d_pre[t, :, h : 2 * h] = d_rs * to_r[t]
             d_pre[t, :, 2 * h :] = dn
-            d_state = d * z + d_rs * r + d_pre[t, :, : 2 * h] @ u_gate.T
-            d_state[fresh[t]] = 0
-        s_all, r_flat = np.concatenate(before), np.concatenate(r_all)
+            d *= z[t]
+            d_rs *= r[t]
+            d += d_rs
+            d += d_pre[t, :, : 2 * h] @ u_gate
+            d_state = d
+            if anew[t]:
+                d_state[fresh[t]] = 0
+        s_all = before.reshape(-1, h)
         flat = d_pre.reshape(-1, 3 * h)
-        grads["turn"] = np.concatenate((s_all.T @ flat[:, : 2 * h], (r_flat * s_all).T @ flat[:, 2 * h :]), 1)
+        grads["turn"] = np.concatenate((s_all.T @ flat[:, : 2 * h], (r.reshape(-1, h) * s_all).T @ flat[:, 2 * h :]), 1)
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-        gates = np.zeros_like(p["gates"])
-        gates[ids[order[first]]] = np.add.reduceat(flat[order], first, axis=0)
-        grads["gates"] = gates
+        touched = ids[order[first]]  # rows of inputs that were there; the others do not change
+        self._step("gates", touched, np.add.reduceat(flat.take(order, 0), first, axis=0))
         for k, g in grads.items():
-            np.clip(g, -1, 1, out=g)
-            self.grads[k] = g
-            self.squares[k] += g * g
-            p[k] -= np.float32(RATE) * g / np.sqrt(self.squares[k])
+            self._step(k, slice(None), g)
+
+    def _step(self, k: str, at, g: np.ndarray) -> None:
+        """One Adagrad step of some rows of a weight."""
+        np.clip(g, -1, 1, out=g)
+        self.grads[k] = (at, g)
+        squares = self.squares[k][at] + g * g
+        self.squares[k][at] = squares
+        np.sqrt(squares, out=squares)
+        self.p[k][at] -= np.float32(RATE) * g / squares
 
     def run(self, codes: np.ndarray, lengths: np.ndarray, train: bool) -> np.ndarray:
         """ln p of every token (see window()) of documents of these lengths, in order."""
