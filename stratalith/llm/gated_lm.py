@@ -29,9 +29,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ from .kernel import Lookup, Words, mixed, released, slices
 from .shared import forget, table, written
 
 HOT, CLASSES, OTHERS, HIDDEN = 512, 16, 48, 16
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 STEPS, LANES, RATE = 16, 384, 0.3
 SHARD_TOKENS, ROUNDS = 1 << 22, 3
 #: Weights are added as integers of this scale; a sum over 2^24 shards of weights below 64 fits.
@@ -83,6 +85,12 @@ class Vocabulary:
         np.subtract.at(rest, classes[: self.hot], np.stack([counts[: self.hot], np.ones(self.hot)], 1))
         self.rest = np.maximum(rest, 0)
 
+    def light(self) -> Vocabulary:
+        """What a network needs of it: all but the table of counts."""
+        out = copy(self)
+        out.lookup = out.counts = None
+        return out
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1.0) / (self.total + self.distinct + 1.0))
 
@@ -99,7 +107,7 @@ class Network:
 
     def __init__(self, v: Vocabulary):
         rnd = np.random.default_rng(20)
-        self.v, h = v, HIDDEN
+        self.v, h = v.light(), HIDDEN
         self.inputs = v.hot + 1 + OTHERS + 1
         normal = lambda n, *shape: (rnd.standard_normal(shape) * _ROOTS[n]).astype(np.float32)
         rows = v.size * v.classes
@@ -341,9 +349,8 @@ def most_frequent(counts: DataFrame, most: int, fill: bool = False) -> pa.Table:
     return counts.where(wanted).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
 
 
-def encoded(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
+def encoded(docs: DataFrame, sent: Broadcast, shards: int) -> DataFrame:
     """shard, place (its order there), codes (two bytes a token, with the end) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(v)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,13 +381,13 @@ def shard_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
         yield now, docs
 
 
-def trained(docs: DataFrame, v: Vocabulary) -> Network:
+def trained(docs: DataFrame, vocabulary: Broadcast) -> Network:
     """The network after ROUNDS rounds over the shards of all training documents."""
-    spark = docs.sparkSession
+    spark, v = docs.sparkSession, vocabulary.value
     network = Network(v)
     shards = max(1, v.total // SHARD_TOKENS)
     rounds = min(ROUNDS, shards)
-    codes = written(spark, encoded(docs, v, shards), "codes")
+    codes = written(spark, encoded(docs, vocabulary, shards), "codes")
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(network)
 
@@ -425,14 +432,15 @@ def scores(docs: DataFrame) -> DataFrame:
     for r in counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # OTHERS rows at most
         by_ending[r["ending"]] = r["c"], r["n"]
     v = Vocabulary(top["token"].to_numpy().view(np.uint64), top["c"].to_numpy(), top["ending"].to_numpy(), total + ends, distinct + (ends > 0), ends, by_ending)
-    sent = spark.sparkContext.broadcast((trained(learn, v), ends))
+    del top
+    vocabulary = spark.sparkContext.broadcast(v)
+    sent = spark.sparkContext.broadcast((trained(learn, vocabulary), ends))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        network, ends = sent.value
-        v = network.v
+        (network, ends), v = sent.value, vocabulary.value
         shares = v.shares()
         row = TaskContext.get().partitionId() << 40
         for parts, known, codes, hashes, lengths in chunks(batches, v):
