@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
-from dataclasses import dataclass, replace
-from pathlib import PurePosixPath
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +38,17 @@ from .types import DataType, Field
 MAX_DEPTH = 24
 
 
-@dataclass
 class Command:
-    """A statement without a result: how many rows it touched."""
+    """A statement without a result. rows: how many it touched, counted when asked where the table may be of any size."""
 
-    rows: int = 0
+    def __init__(self, rows: int | Callable[[], int] = 0):
+        self._rows = rows
+
+    @property
+    def rows(self) -> int:
+        if callable(self._rows):
+            self._rows = self._rows()
+        return self._rows
 
 
 class Result:
@@ -107,8 +112,10 @@ class Engine:
     def run(self, s, limits: QueryLimits | None = None) -> Command | Result:
         limits = limits or self.limits
         if isinstance(s, (A.Select, A.Union, A.CrossJoin, A.EquiJoin)):
-            df, fields = Compiler(self.catalog, limits, self.ordered).compile(s)
-            self._check_groups(s, df, limits)
+            compiler = Compiler(self.catalog, limits, self.ordered, self.written)
+            df, fields = compiler.compile(s)
+            for what, total, most in compiler.state:
+                Result._check(what, total.first()[0], most)
             return Result(fields, df, limits)
         if isinstance(s, A.Constant):
             return self._local([Field(s.name, s.type, s.value is None)], [(s.value,)], limits)
@@ -116,11 +123,6 @@ class Engine:
             return self._local(*metadata.rows(s.what, s.table, self.catalog, limits, self.tables), limits)
         return getattr(self, f"_{type(s).__name__}")(s)
 
-    def _check_groups(self, s, df: DataFrame, limits: QueryLimits) -> None:
-        if isinstance(s, A.Select) and s.group_by is not None and limits.max_groups is not None and s.limit is None and s.having is None:
-            if (n := df.limit(limits.max_groups + 1).count()) > limits.max_groups:
-                raise ResourceLimitExceeded("groups", n, limits.max_groups)
-
     def _local(self, fields: list[Field], rows: list[tuple], limits: QueryLimits) -> Result:
         schema = T.StructType([T.StructField(f"c{i}", f.type.spark, True) for i, f in enumerate(fields)])
         return Result(fields, self.spark.createDataFrame(rows, schema).toDF(*[f.name for f in fields]), limits)
@@ -175,8 +177,12 @@ class Engine:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table in the warehouse; its plan starts anew there."""
         where = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.conf.get("spark.sql.warehouse.dir")
-        path = str(PurePosixPath(where.replace("file:", "", 1) if where.startswith("file:/") else where) / f"{name}-{uuid.uuid4().hex}")
+        if where.startswith(("file:", "/")) and not self.spark.conf.get("spark.checkpoint.dir", None) and not self.spark.sparkContext.master.startswith("local"):
+            raise InvalidQuery("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _AddColumn(self, s: A.AddColumn) -> Command:
@@ -223,23 +229,25 @@ class Engine:
         self.check_value(f, value, f"column '{f.name}'")
         self.check_value(w, s.where_value.value, f"column '{w.name}'")
         found = column(w) == F.lit(s.where_value.value)
-        n = e.df.where(found).count()
-        if n:
-            self._put(e.having(e.df.withColumn(f.name, F.when(found, F.lit(value).cast(f.type.spark)).otherwise(column(f))), e.rows))
-        return Command(n)
+        self._put(e.having(e.df.withColumn(f.name, F.when(found, F.lit(value).cast(f.type.spark)).otherwise(column(f))), e.rows))
+        return Command(self._count(e, found))
 
     def _Delete(self, s: A.Delete) -> Command:
         e = self.catalog.get(s.table)
         found = F.coalesce(Compiler(self.catalog).predicate(s.where, e), F.lit(False))
-        n = e.df.where(found).count()
-        if n:
-            self._put(e.having(e.df.where(~found), None if e.rows is None else e.rows - n))
+        n = self._count(e, found)
+        self._put(e.having(e.df.where(~found), None if e.rows is None else e.rows - n))
         return Command(n)
 
+    def _count(self, e: Entry, found) -> int | Callable[[], int]:
+        """How many rows are found: at once in a session's table, when asked in one of any size."""
+        count = e.df.where(found).count
+        return count() if e.rows is not None else count
+
     def _Truncate(self, s: A.Truncate) -> Command:
         e = self.catalog.get(s.table)
         self.catalog.put(replace(e, df=self.spark.createDataFrame([], self._schema(e.fields)), rows=0, depth=0))
-        return Command(e.count())
+        return Command(e.rows if e.rows is not None else e.df.count)
 
     def _Insert(self, s: A.Insert) -> Command:
         return Command(self.append(s.table, s.rows, s.columns))
@@ -267,6 +275,18 @@ class Engine:
         self._put(e.having(df, None if e.rows is None else e.rows + len(rows), next_order=e.next_order + len(rows)))
         return len(rows)
 
+    def append_frame(self, table: str, df: DataFrame) -> int:
+        """Appends the rows of a stored frame with the table's columns, of any size; they come after all that are there."""
+        e = self.catalog.get(table)
+        n = df.count()
+        self._check_size(e.count() + n, len(e.fields))
+        numbered = df.select(*[column(f) for f in e.fields]).withColumn(ORDER, F.lit(e.next_order) + F.monotonically_increasing_id())
+        new = self.written(numbered, e.name)  # its numbers stay as they are
+        top = new.agg(F.max(ORDER)).first()[0]
+        whole = new if e.rows == 0 else e.ordered().select(*new.columns).unionByName(new)
+        self._put(e.having(whole, None if e.rows is None else e.rows + n, next_order=e.next_order if top is None else top + 1, stored=True))
+        return n
+
 
 class SharedEngine:
     """An engine for several threads: many readers or one writer. try_ forms raise DatabaseBusy instead of waiting."""

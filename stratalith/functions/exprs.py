@@ -1,6 +1,6 @@
 """Builders of Columns whose results are exact where Spark's own are looser.
 
-All but the text of a Float64 stay on the JVM. order_key() gives a key that sorts as the expression does but raises nothing,
+All but the text of a Float64 (Arrow's own, batch by batch) stay on the JVM. order_key() gives a key that sorts as the expression does but raises nothing,
 so that rows outside LIMIT are never computed.
 """
 
@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..errors import cast_text, overflow_text
 from ..types import DataType
@@ -85,16 +85,16 @@ def upper_ascii(c: Column) -> Column:
 def float_text(c: Column) -> Column:
     """The shortest text that reads back as the same number, without exponent; whole numbers have no point."""
 
-    def one(x):
-        if x is None or x != x:
-            return None
-        text = format(Decimal(repr(float(x))), "f")
-        return text.rstrip("0").rstrip(".") if "." in text else text
+    def texts(values: pa.Array) -> pa.Array:
+        values = pc.if_else(pc.is_nan(values), pa.scalar(None, pa.float64()), values)
+        said = pc.replace_substring_regex(values.cast(pa.string()), r"\.0$", "")
+        far = pc.fill_null(pc.match_substring(said, "e"), False)
+        if pc.any(far).as_py():  # very large and very small numbers
+            plain = [format(Decimal(repr(x)), "f") for x in values.filter(far).to_pylist()]
+            said = pc.replace_with_mask(said, far, pa.array([x.rstrip("0").rstrip(".") if "." in x else x for x in plain], pa.string()))
+        return said
 
-    def texts(values: pd.Series) -> pd.Series:
-        return values.map(one)
-
-    return pandas_udf(texts, "string")(c)
+    return F.arrow_udf(texts, "string")(c)
 
 
 # Numbers.
@@ -200,9 +200,12 @@ def order_keys(function: str, c: Column, kind: DataType, argument, descending: b
 
 # Aggregates.
 def exact_sum(c: Column) -> Column:
-    """SUM(Int64) as decimal: two halves are added as bigints, so no intermediate sum can overflow (below 2^31 rows a group)."""
-    high, low = F.sum(F.shiftright(c, 32)), F.sum(c.bitwiseAND(F.lit(0xFFFFFFFF)))
-    return high.cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    """SUM(Int64) as decimal: three limbs of 22, 21 and 21 bits are added as bigints, so no intermediate sum can overflow below
+    2^41 rows a group."""
+    low = F.lit((1 << 21) - 1)
+    limbs = F.sum(F.shiftright(c, 42)), F.sum(F.shiftright(c, 21).bitwiseAND(low)), F.sum(c.bitwiseAND(low))
+    high, mid, least = (x.cast("decimal(19,0)") for x in limbs)
+    return high * F.lit(1 << 42).cast("decimal(13,0)") + mid * F.lit(1 << 21).cast("decimal(7,0)") + least
 
 
 def sum_int(c: Column) -> Column:

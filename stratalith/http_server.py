@@ -10,6 +10,7 @@ from __future__ import annotations
 import hmac
 import re
 import threading
+import uuid
 from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
@@ -201,8 +202,10 @@ def text_of(body: bytes) -> str:
         raise Refused(400, "the body is not UTF-8") from None
 
 
-def server(engine: Engine, port: int, principals: tuple[Principal, ...] = (), host: str = "127.0.0.1", timeout: float = 30.0) -> ThreadingHTTPServer:
-    service = Service(engine, principals)
+def server(engine: Engine, port: int, principals: tuple[Principal, ...] = (), host: str = "127.0.0.1", timeout: float = 30.0, max_requests: int = 32, deadline: float = 300.0) -> ThreadingHTTPServer:
+    """A server that answers at most max_requests at once (others get 503), and none for longer than deadline seconds: then its
+    Spark jobs are cancelled and the answer is 504. timeout is for a client that sends nothing."""
+    service, places, sc = Service(engine, principals), threading.BoundedSemaphore(max_requests), engine.spark.sparkContext
 
     class Handler(BaseHTTPRequestHandler):
         protocol_version = "HTTP/1.1"
@@ -212,11 +215,41 @@ def server(engine: Engine, port: int, principals: tuple[Principal, ...] = (), ho
             super().setup()
 
         def handle_any(self):
+            if not places.acquire(blocking=False):
+                self.say(503, "too many requests at once\n")
+                return
+            try:
+                self.say(*self.timed())
+            finally:
+                places.release()
+
+        def timed(self) -> tuple[int, str]:
+            group, late = f"http-{uuid.uuid4().hex}", threading.Event()
+
+            def stop():
+                late.set()
+                sc.cancelJobGroup(group)
+
+            timer = threading.Timer(deadline, stop)
+            timer.start()
+            status, text = 500, ""
+            try:
+                sc.setJobGroup(group, "an HTTP request", True)
+                status, text = self.answered()
+            except Exception:
+                if not late.is_set():
+                    raise
+            finally:
+                timer.cancel()
+            return (504, "the deadline has passed\n") if late.is_set() else (status, text)
+
+        def answered(self) -> tuple[int, str]:
             length = self.headers.get("Content-Length", "0")
             if not length.isdigit() or int(length) > MAX_BODY:
-                status, text = 400, "the body is too long\n"
-            else:
-                status, text = service.answer(self.command, self.path, {k.lower(): v for k, v in self.headers.items()}, self.rfile.read(int(length)))
+                return 400, "the body is too long\n"
+            return service.answer(self.command, self.path, {k.lower(): v for k, v in self.headers.items()}, self.rfile.read(int(length)))
+
+        def say(self, status: int, text: str) -> None:
             data = text.encode()
             self.send_response(status)
             self.send_header("Content-Type", "text/plain; charset=utf-8")

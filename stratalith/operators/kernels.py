@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -43,18 +45,21 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return left.join(right, left[left_key] == right[right_key], how)
 
 
-def numbered(df: DataFrame, keys: list[Column], bucket: Column, name: str) -> DataFrame:
-    """Rows numbered from 1 by keys, without sorting them all in one task.
+def numbered(df: DataFrame, keys: list[Column], write: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+    """Rows numbered from 1 by keys (without keys, in the order they come), without sorting them all in one task.
 
-    bucket never falls as keys go up. Each bucket is numbered alone and starts after the rows of the buckets before it, whose
-    counts (one number each) are collected.
+    Rows are dealt to partitions by ranges of the keys and sorted there; a key that many rows share is split if a later key tells
+    them apart. The sorted rows are written once with their places, so places and counts belong to one and the same deal. Each
+    partition's numbers start after the rows of those before it, whose counts (one number each) are collected.
     """
-    with_bucket = df.withColumn("__bucket", bucket)
-    counts = {r["__bucket"]: r["count"] for r in with_bucket.groupBy("__bucket").count().collect()}
-    start, total = {}, 0
-    for b in sorted(counts, key=lambda b: (b is not None, b)):
-        start[b], total = total, total + counts[b]
-    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys)).cast("bigint")
-    known = {b: n for b, n in start.items() if b is not None}
-    shift = F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col("__bucket")) if known else F.lit(0)
-    return with_bucket.withColumn(name, own + F.coalesce(shift, F.lit(start.get(None, 0))).cast("bigint")).drop("__bucket")
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    kept = write(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    counts = sorted(tuple(r) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    before = kept.sparkSession.createDataFrame(starts, "__part bigint, __start bigint")
+    joined = kept.join(F.broadcast(before), part == F.col("__part"))  # a row for each partition
+    return joined.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__start")

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import ORDER, Catalog, Entry, fold
@@ -26,7 +28,6 @@ NUMBERS = (INT, FLT)
 TAKES = {"LENGTH": (STR,), "lengthUTF8": (STR,), "empty": (STR,), "LOWER": (STR,), "UPPER": (STR,), "ABS": NUMBERS, "ROUND": (FLT,), "FLOOR": (FLT,), "CEIL": (FLT,), "-": (INT,), "ifNull": (INT,)}
 GROUPED = ("isNull", "isNotNull", "ifNull", "CAST")
 CASTS = {INT: (FLT, BOOL, STR), FLT: (INT, BOOL, STR), BOOL: (INT, FLT, STR), STR: (INT, FLT, BOOL)}
-CHUNKS = 256
 
 
 def column(f: Field) -> Column:
@@ -34,8 +35,21 @@ def column(f: Field) -> Column:
 
 
 class Compiler:
-    def __init__(self, catalog: Catalog, limits: QueryLimits | None = None, ordered: bool = True):
-        self.catalog, self.limits, self.ordered = catalog, limits or QueryLimits.none(), ordered
+    def __init__(self, catalog: Catalog, limits: QueryLimits | None = None, ordered: bool = True, write: Callable[[DataFrame, str], DataFrame] | None = None):
+        self.catalog, self.limits, self.ordered, self.write = catalog, limits or QueryLimits.none(), ordered, write
+        #: What the state of the query must not exceed: (what, frame of one number, limit). run() of the engine looks.
+        self.state: list[tuple[str, DataFrame, int]] = []
+
+    def charge(self, what: str, df: DataFrame, size: Column, most: int | None) -> None:
+        """Remembers a limit on the sum of size over the rows of df."""
+        if most is not None:
+            self.state.append((what, df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))), most))
+
+    @staticmethod
+    def bytes_of(columns: list[tuple[Column, DataType]]) -> Column:
+        """8 bytes a number, 1 a Bool, and the bytes of a String."""
+        sizes = [F.coalesce(F.octet_length(c).cast("bigint"), F.lit(0)) if kind is STR else F.lit(1 if kind is BOOL else 8) for c, kind in columns]
+        return sum(sizes, F.lit(0))
 
     def compile(self, query) -> tuple[DataFrame, list[Field]]:
         if isinstance(query, A.Select):
@@ -152,18 +166,24 @@ class Compiler:
             return self.distinct(q, items, entry, df)
         if any(i.kind == "row_number" for i in items):
             return self.row_number(q, items, entry, df)
-        keys = []
+        keys, sorted_by = [], []
         for k in q.order_by:
             item = self.output(k.name, items, entry)
             f = entry.field(item.column)
             if item.kind == "column":
-                keys.append(self.way(column(f), k.descending))
+                keys.append(self.way(column(f), k.descending, k.nulls))
             else:
                 self.check_scalar(item, f)
+                if k.nulls:
+                    keys.append(column(f).isNull().desc() if k.nulls == "first" else column(f).isNull().asc())
                 keys += X.order_keys(item.function, column(f), f.type, item.argument, k.descending)
+            sorted_by.append((column(f), f.type))
         if keys and needs_order or q.limit is not None or self.ordered and entry.stored:
             keys.append(F.col(ORDER))
         made = [self.projected(i, entry) for i in items]
+        if sorted_by and self.limits.max_ordering_state_bytes is not None:
+            held = df if q.limit is None else df.orderBy(*keys).limit(q.offset + q.limit)
+            self.charge("ordering state bytes", held, self.bytes_of(sorted_by) + 8, self.limits.max_ordering_state_bytes)
         df = self.page(df, keys, q)
         return self.named(df, [c for c, _ in made], [f for _, f in made])
 
@@ -171,8 +191,10 @@ class Compiler:
         """Results may share a name, so columns get their names last."""
         return df.select(*[c.alias(f"__c{i}") for i, c in enumerate(columns)]).toDF(*[f.name for f in fields]), fields
 
-    def way(self, c: Column, descending: bool) -> Column:
-        return c.desc_nulls_last() if descending else c.asc_nulls_first()
+    def way(self, c: Column, descending: bool, nulls: str | None = None) -> Column:
+        """Nulls lie below all values unless the query places them."""
+        first = nulls == "first" if nulls else not descending
+        return {(True, True): c.desc_nulls_first, (True, False): c.desc_nulls_last, (False, True): c.asc_nulls_first, (False, False): c.asc_nulls_last}[descending, first]()
 
     def output(self, name: str, items: list[A.Item], entry: Entry) -> A.Item:
         for i in items:
@@ -186,7 +208,7 @@ class Compiler:
     def distinct(self, q: A.Select, items, entry: Entry, df: DataFrame) -> tuple[DataFrame, list[Field]]:
         fields = [entry.field(i.column) for i in items]
         columns = [column(f) for f in fields]
-        keys = [self.way(column(entry.field(self.output(k.name, items, entry).column)), k.descending) for k in q.order_by]
+        keys = [self.way(column(entry.field(self.output(k.name, items, entry).column)), k.descending, k.nulls) for k in q.order_by]
         if ORDER in df.columns:
             df = df.groupBy(*columns).agg(F.min(ORDER).alias(ORDER))
             keys.append(F.col(ORDER))
@@ -197,20 +219,18 @@ class Compiler:
     def row_number(self, q: A.Select, items, entry: Entry, df: DataFrame) -> tuple[DataFrame, list[Field]]:
         item = next(i for i in items if i.kind == "row_number")
         if item.column is None:
-            keys, bucket = [F.col(ORDER)], F.shiftright(ORDER, 33 if entry.engine != "Memory" else 20)
+            keys = [F.col(ORDER)] if entry.engine == "Memory" or q.limit is not None else []
         else:
             f = entry.field(item.column)
             if f.type is not INT:
                 raise TypeMismatch("ROW_NUMBER ORDER BY", INT, f.type)
             c = column(f)
             keys = [self.way(c, item.argument), F.col(ORDER)]
-            cuts = [] if q.limit is not None else sorted({int(x) for x in df.approxQuantile(f.name, [i / CHUNKS for i in range(1, CHUNKS)], 1 / CHUNKS)})
-            step = sum(((c > x).cast("int") for x in cuts), F.lit(0)) if cuts else F.lit(0)
-            bucket = (F.when(c.isNull(), len(cuts) + 1).otherwise(-step) if item.argument else F.when(c.isNull(), -1).otherwise(step)).cast("bigint")
+        df = df.select(ORDER, *{c: column(entry.field(c)) for c in sorted({fold(i.column): i.column for i in items if i.column is not None}.values())}.values())
         if q.limit is not None:  # numbers of the first rows need only these
-            df = df.orderBy(*keys).limit(q.limit)
-            bucket = F.lit(0)
-        df = kernels.numbered(df, keys, bucket, "__number")
+            df = df.orderBy(*keys).limit(q.limit).withColumn("__number", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+        else:
+            df = kernels.numbered(df, keys, self.write, "__number")
         if self.ordered or q.limit is not None:
             df = df.orderBy("__number")
         columns, fields = [], []
@@ -265,12 +285,20 @@ class Compiler:
             aggregates.append(F.min(ORDER).alias("__first"))
         with_keys = df.select("*", *[column(f).alias(names[fold(f.name)]) for f in keys])
         out = with_keys.groupBy(*names.values()).agg(*(aggregates or [F.count(F.lit(1)).alias("__n")])) if q.group_by is not None else df.agg(*(aggregates or [F.count(F.lit(1)).alias("__n")]))
+        if q.group_by is not None:
+            most, by = self.limits, [(F.col(names[fold(f.name)]), f.type) for f in keys]
+            self.charge("groups", out if most.max_groups is None else out.limit(most.max_groups + 1), F.lit(1), most.max_groups)
+            self.charge("group key cells", out, F.lit(len(keys)), most.max_group_key_cells)
+            self.charge("group key bytes", out, self.bytes_of(by), most.max_group_key_bytes)
+        held = [(F.col(f"__a{n}"), f.type) for n, (i, f) in enumerate(zip(items, fields, strict=True)) if i.kind == "aggregate"]
+        self.charge("aggregate state cells", out, F.lit(len(held)), self.limits.max_aggregate_state_cells)
+        self.charge("aggregate state bytes", out, self.bytes_of(held), self.limits.max_aggregate_state_bytes)
         if q.having:
             out = out.where(self.having(q.having, items, fields, after))
         order = []
         for k in q.order_by:
             at = self.position(k.name, items, entry)
-            order.append(self.way(after[at], k.descending))
+            order.append(self.way(after[at], k.descending, k.nulls))
         if by_source and (order or self.ordered or q.limit is not None):
             order.append(F.col("__first"))
         return self.named(self.page(out, order, q), after, fields)

@@ -59,5 +59,5 @@ def rows(what: str, table: str | None, catalog: Catalog, limits: QueryLimits, ta
     if what == "system.columns":
         names = [Field(n, STR) for n in ("database", "table", "name", "type")] + [Field("position", INT)]
         return names, [("default", e.name, f.name, f.declared, i + 1) for e in all_tables for i, f in enumerate(e.fields)]
-    metrics = {"tables": len(all_tables), "columns": sum(len(e.fields) for e in all_tables), "retained_rows": sum(e.count() for e in all_tables), "retained_value_bytes": sum(map(value_bytes, all_tables)), "index_scanned_blocks": 0, "index_pruned_blocks": 0}
+    metrics = {"tables": len(all_tables), "columns": sum(len(e.fields) for e in all_tables), "retained_rows": sum(e.count() for e in all_tables), "retained_value_bytes": sum(map(value_bytes, all_tables))}
     return [Field("metric", STR), Field("value", INT)], [(f"{PREFIX}_{k}", v) for k, v in metrics.items()]

@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import surfaces
 from .engine import Engine
 from .operators import kernels
 
@@ -76,7 +77,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "filter_in": ("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", None),
     "filter_in_mixed": ("SELECT l_orderkey, number FROM lines WHERE number IN (1, 2.5, 4.0)", "SELECT l_orderkey, number FROM lines WHERE number IN (1, 4)"),
     "filter_not_in": ("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')", None),
-    "like_prefix": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'p%'", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'p')"),
+    "like_prefix": ("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment LIKE 'B%'", "SELECT c_custkey, c_mktsegment FROM customer WHERE starts_with(c_mktsegment, 'B')"),
     "like_suffix": ("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%7'", "SELECT c_custkey, c_name FROM customer WHERE suffix(c_name, '7')"),
     "like_contains": ("SELECT doc_id, lang FROM documents WHERE text LIKE '%tion%'", "SELECT doc_id, lang FROM documents WHERE contains(text, 'tion')"),
     "not_like": ("SELECT p_partkey, p_brand FROM part WHERE p_brand NOT LIKE '%1%'", "SELECT p_partkey, p_brand FROM part WHERE NOT contains(p_brand, '1')"),
@@ -178,8 +179,8 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: partial(ask, script) for k, (script, _) in QUERIES.items()} | {k: f for k, (f, _) in FRAMES.items()}
+    return {k: partial(ask, script) for k, (script, _) in QUERIES.items()} | {k: f for k, (f, _) in (FRAMES | surfaces.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql(other or script) for k, (script, other) in QUERIES.items()} | {k: sql(x) for k, (_, x) in FRAMES.items()}
+    return {k: sql(other or script) for k, (script, other) in QUERIES.items()} | {k: sql(x) for k, (_, x) in FRAMES.items()} | {k: x for k, (_, x) in surfaces.QUERIES.items()}

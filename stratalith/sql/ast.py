@@ -101,6 +101,7 @@ class Having:
 class OrderKey:
     name: str  # an output column, alias or canonical spelling
     descending: bool = False
+    nulls: str | None = None  # "first" or "last" where the query says so
 
 
 @dataclass(frozen=True)

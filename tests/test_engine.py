@@ -4,6 +4,8 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from stratalith.operators.kernels import numbered
 from stratalith.engine import Command, Engine, SharedEngine
 from stratalith.errors import (
     ColumnNotFound,
@@ -279,6 +281,39 @@ def test_malformed_scripts_raise_typed_errors():
             pass
     for good in ("SELECT a FROM t -- comment\n;", ";;", "select a from t where a=1 or (not b='x' and c>=-2.5e-3)"):
         parse(good)
-    with pytest.raises(SqlError, match="byte 7"):
+    with pytest.raises(SqlError, match="byte 7 of"):
         parse("SELECT ,")
-    assert math.isfinite(parse("SELECT 1.5e300")[0].value) and isinstance(Command(), Command)
+    assert math.isfinite(parse("SELECT 1.5e300")[0].value) and Command(lambda: 3).rows == 3
+
+
+def test_sums_of_more_than_two_to_the_31_rows(spark):
+    e = Engine.over(spark, {"t": spark.range(0, 2_200_000_000, 1, 8).selectExpr("-1L as x")})
+    assert e.query("SELECT SUM(x), AVG(x) FROM t").rows() == [(-2_200_000_000, -1.0)]
+
+
+def test_numbering_of_one_key_in_all_rows_uses_several_tasks(spark):
+    df = spark.range(0, 50_000, 1, 4).selectExpr("7L as k", "id as v")
+    e = Engine.over(spark, {"t": df})
+    found = e.frame("SELECT v, ROW_NUMBER() OVER (ORDER BY k DESC) AS n FROM t")
+    assert sorted(r["n"] for r in found.collect()) == list(range(1, 50_001))
+    seen = []
+    numbered(df, [F.col("k").asc(), F.col("v").asc()], lambda x, _: seen.append(x.cache()) or seen[-1], "n").count()
+    assert seen[0].groupBy(F.shiftright("__at", 33)).count().count() > 1
+
+
+def test_texts_of_floats(spark):
+    values = [0.1, 1.0, -0.0, 1e22, 1.5e300, 5e-324, 123456789.125, -1e-7, None, 2.0**63, 1e16, 0.30000000000000004]
+    e = Engine.over(spark, {"t": spark.createDataFrame([(x,) for x in values], "x double")})
+    got = [r[0] for r in e.query("SELECT CAST(x AS String) FROM t").rows()]
+    for x, text in zip(values, got):
+        assert (text is None) == (x is None) and (x is None or float(text) == x and "e" not in text and not text.endswith("."))
+    assert got[:3] == ["0.1", "1", "-0"] and got[3] == "1" + "0" * 22
+
+
+def test_nulls_are_placed_where_a_query_says(spark):
+    e = Engine(spark)
+    e.execute("CREATE TABLE t (c Int64 NULL); INSERT INTO t VALUES (2), (NULL), (1)")
+    for order, want in (("ASC NULLS LAST", [1, 2, None]), ("DESC NULLS FIRST", [None, 2, 1]), ("ASC NULLS FIRST", [None, 1, 2]), ("DESC", [2, 1, None])):
+        assert [r[0] for r in e.query(f"SELECT c FROM t ORDER BY c {order} LIMIT 3").rows()] == want
+    with pytest.raises(SqlError):
+        e.query("SELECT c FROM t ORDER BY c NULLS LIMIT 1")
