@@ -41,7 +41,7 @@ from .kernel import Lookup, Words, mixed, released, slices
 from .shared import forget, table, written
 
 HOT, CLASSES, OTHERS, HIDDEN = 512, 16, 48, 16
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 STEPS, LANES, RATE = 16, 384, 0.3
 SHARD_TOKENS, ROUNDS = 1 << 22, 3
 #: Weights are added as integers of this scale; a sum over 2^24 shards of weights below 64 fits.
@@ -381,9 +381,9 @@ def shard_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
         yield now, docs
 
 
-def trained(docs: DataFrame, vocabulary: Broadcast) -> Network:
+def trained(docs: DataFrame, v: Vocabulary, vocabulary: Broadcast) -> Network:
     """The network after ROUNDS rounds over the shards of all training documents."""
-    spark, v = docs.sparkSession, vocabulary.value
+    spark = docs.sparkSession
     network = Network(v)
     shards = max(1, v.total // SHARD_TOKENS)
     rounds = min(ROUNDS, shards)
@@ -434,7 +434,7 @@ def scores(docs: DataFrame) -> DataFrame:
     v = Vocabulary(top["token"].to_numpy().view(np.uint64), top["c"].to_numpy(), top["ending"].to_numpy(), total + ends, distinct + (ends > 0), ends, by_ending)
     del top
     vocabulary = spark.sparkContext.broadcast(v)
-    sent = spark.sparkContext.broadcast((trained(learn, vocabulary), ends))
+    sent = spark.sparkContext.broadcast((trained(learn, v, vocabulary), ends))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

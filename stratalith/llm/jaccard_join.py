@@ -10,9 +10,11 @@ The boundary is the size up to which subsets cost less: rows to enumerate agains
 length is measured. On a list of few classes, pairs whose sizes fit are counted, and those with enough common entries are
 candidates. A longer list (of a large group of near copies: there nearly all tokens are in many documents) makes each of its
 members a candidate with the list's least class. Few is what makes a token common in the order too, so a long list comes only
-from sets that have no rarer tokens to offer. Connected candidates form a group; groups are split by size into pairs of blocks.
-In a group all overlaps are counted exactly, and only a spanning forest of the links comes out. Components of that forest, with
-the classes expanded, are the result. Nothing is dropped or capped: an order or a boundary that is badly chosen costs time, not
+from sets that have no rarer tokens to offer. Connected candidates form a group; a large group is split into blocks. In a
+block, with HUBS sets of its group (the same in all blocks), overlaps are counted exactly; then the sets outside of the group's
+largest component so far, and only these, meet all blocks, as the others are connected whatever else they are linked to. So a
+group of near copies costs about its size, and only one of sets that meet but are not linked the square of these. Only a spanning
+forest of the links comes out. Components of that forest, with the classes expanded, are the result. Nothing is dropped or capped: an order or a boundary that is badly chosen costs time, not
 links. The common tokens are sent as a Bloom filter (a false hit is one more token that comes last, everywhere alike); beyond
 2^MAX_BITS / 8 of them the least count that makes a token common, and a list long, is raised.
 
@@ -40,8 +42,8 @@ SHINGLE, PERCENT = 3, 90
 SHARED = 4
 #: A token in more documents than this comes last in the order; on lists of at most so many, pairs are formed.
 HEAVY = 16
-#: A block holds about so many tokens and sets at most; larger groups are split into pairs of blocks.
-GROUP_TOKENS, GROUP_SETS = 750_000, 1_000
+#: A block holds about so many tokens and sets at most; larger groups are split into blocks, which share so many sets as hubs.
+GROUP_TOKENS, GROUP_SETS, HUBS = 1_000_000, 1_500, 4
 #: What an entry of a list costs, in rows of subsets.
 ENTRY_COST = 1.0
 MAX_BITS = 28
@@ -306,12 +308,35 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     groups = components(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).unionByName(stars)).select(F.col("component").alias("pivot"), F.col("node").alias("k"))
     firsts = sets.where("n > 0").groupBy("k").agg(F.min("row").alias("row"), F.first("n").alias("n"))
     members = written(spark, groups.join(firsts, "k"), "members")
-    weights = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("bigint").alias("blocks"))
-    block = F.pmod(F.xxhash64("k"), F.col("blocks"))
-    dealt = members.join(weights, "pivot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    # Each pair of blocks holds both whole, so a block of its own is needed only where there is one.
-    dealt = dealt.where("blocks = 1 or block <> other").select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "row")
+    weights = members.groupBy("pivot").agg(
+        F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("bigint").alias("blocks"),
+        *[f(F.struct(F.xxhash64("k", F.lit(i)), "k", "row")).alias(f"hub{i}{f.__name__}") for i in range(HUBS // 2) for f in (F.min, F.max)],
+    )
+    dealt = written(spark, members.join(weights.select("pivot", "blocks"), "pivot").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))), "dealt")
     wanted = bloom(members.select(F.xxhash64("row").alias("id")).distinct(), "id")
+    chosen = written(spark, only_rows(sets, wanted).join(members.select("k", "row"), ["k", "row"]), "chosen")
+    # Each block alone, and with the hubs of its group where that has more blocks.
+    hubs = weights.where("blocks > 1").select("pivot", "blocks", F.explode(F.array(*[c for c in weights.columns if c.startswith("hub")])).alias("hub"))
+    hubs = hubs.select("pivot", "hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    first = dealt.select("pivot", "block", "k", "row").unionByName(hubs.select("pivot", "block", F.col("hub.k").alias("k"), F.col("hub.row").alias("row"))).distinct()
+    found = written(spark, linked_within(first, ["pivot", "block"], chosen, percent), "block-links")
+    large = dealt.where("blocks > 1").drop("n")
+    if large.isEmpty():
+        return found
+    # Of a large group the sets outside its largest component meet every block.
+    parts = components(found)
+    owned = large.join(parts, large["k"] == parts["node"], "left").select("pivot", "blocks", "block", "k", "row", F.coalesce("component", "k").alias("part"))
+    owned = written(spark, owned, "large-groups")
+    largest = owned.groupBy("pivot", "part").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max(F.struct("c", "part")).alias("x"))
+    rest = owned.join(largest.select("pivot", F.col("x.part").alias("most")), "pivot").where("part <> most").select("pivot", "blocks", "k", "row")
+    sizes = rest.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP_SETS).cast("bigint").alias("others"))
+    rest = rest.join(sizes, "pivot").select("pivot", "k", "row", F.pmod(F.xxhash64("k"), F.col("others")).alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    every = owned.join(sizes, "pivot").select("pivot", "k", "row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)).alias("other"), "block")
+    return found.unionByName(linked_within(rest.unionByName(every).distinct(), ["pivot", "other", "block"], chosen, percent))
+
+
+def linked_within(dealt: DataFrame, keys: list[str], chosen: DataFrame, percent: int) -> DataFrame:
+    """a, b: a forest with the components of all links inside each of the groups that sets (k, row) were dealt to."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("k")
@@ -320,7 +345,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         other = np.flatnonzero(label != np.arange(len(k)))
         return pa.table({"a": pa.array(k[other]), "b": pa.array(k[label[other]])})
 
-    return dealt.join(only_rows(sets, wanted), ["k", "row"]).groupBy("pivot", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return dealt.join(chosen, ["k", "row"]).groupBy(*keys).applyInArrow(run, "a bigint, b bigint")
 
 
 def placed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
