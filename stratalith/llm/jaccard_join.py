@@ -1,8 +1,8 @@
 """Similarity join of documents on sets of word n-grams (Jaccard), size-aware: small sets by subsets, large ones by lists.
 
 The texts are read once: the sets of all rows (sorted 64-bit hashes of n-grams) go to a table, which every later step reads.
-Equal sets are one class; only classes are joined. All tokens have one global order: by hash, but tokens in many documents come
-last. Two sets whose overlap is at least o share j of their first |x| - o + j tokens. So
+Equal sets are one class; only classes are joined. All tokens have one global order: tokens in few documents come first, then
+those in up to four times as many, and so on, by hash within each step. Two sets whose overlap is at least o share j of their first |x| - o + j tokens. So
 - small sets enumerate all two-token subsets of their prefix (j = 2), which meet others only in near copies;
 - large sets put the tokens of their prefix (j = SHARED) on inverted lists. Pairs with a large set are found there (a small
   set that is large enough to pair with one is on the lists too).
@@ -15,7 +15,7 @@ block, with HUBS sets of its group (the same in all blocks), overlaps are counte
 largest component so far, and only these, meet all blocks, as the others are connected whatever else they are linked to. So a
 group of near copies costs about its size, and only one of sets that meet but are not linked the square of these. Only a spanning
 forest of the links comes out. Components of that forest, with the classes expanded, are the result. Nothing is dropped or capped: an order or a boundary that is badly chosen costs time, not
-links. The common tokens are sent as a Bloom filter (a false hit is one more token that comes last, everywhere alike); beyond
+links. The common tokens are sent as Bloom filters, one for each step (a false hit is a token that comes later, everywhere alike); beyond
 2^MAX_BITS / 8 of them the least count that makes a token common, and a list long, is raised.
 
 Hashes: tokens, classes and lists are 64-bit hashes. Nulls: a null text, like one without words, has no set and no links. A
@@ -43,7 +43,9 @@ SHARED = 4
 #: A token in more documents than this comes last in the order; on lists of at most so many, pairs are formed.
 HEAVY = 16
 #: A block holds about so many tokens and sets at most; larger groups are split into blocks, which share so many sets as hubs.
-GROUP_TOKENS, GROUP_SETS, HUBS = 1_000_000, 1_500, 4
+GROUP_TOKENS, GROUP_SETS, HUBS = 1_500_000, 4_000, 4
+#: Rounds of counting tokens, at most.
+ROUNDS = 5
 #: What an entry of a list costs, in rows of subsets.
 ENTRY_COST = 1.0
 MAX_BITS = 28
@@ -129,9 +131,9 @@ def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 class Plan:
-    """How lists are made: percent, common tokens, from how many classes on a list is long, and the largest small set."""
+    """How lists are made: percent, common tokens by steps, from how many classes on a list is long, and the largest small set."""
 
-    def __init__(self, percent: int, heavy: Bloom | None, few: int, boundary: int):
+    def __init__(self, percent: int, heavy: list[Bloom], few: int, boundary: int):
         self.percent, self.heavy, self.few, self.boundary = percent, heavy, few, boundary
         self.least_on_lists = -(-percent * (boundary + 1) // 100)
         self.linking: dict[int, bool] = {}
@@ -143,10 +145,11 @@ class Plan:
 
     def ordered(self, tokens: np.ndarray, size: int) -> np.ndarray:
         """The first tokens of the set in the global order."""
-        if self.heavy is None:
-            return tokens[:size]
-        late = self.heavy.has(tokens)
-        return np.concatenate((tokens[~late][:size], tokens[late]))[:size]
+        level, at = np.zeros(len(tokens), np.int8), np.arange(len(tokens))
+        for more in self.heavy:
+            at = at[more.has(tokens[at])]
+            level[at] += 1
+        return tokens[np.argsort(level, kind="stable")[:size]]
 
     def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
         """The lists that a set is on: subsets of its prefix, then tokens; how many are subsets."""
@@ -165,27 +168,48 @@ class Plan:
         return np.concatenate(out), subsets
 
 
-def prefix_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """token: the first tokens by hash alone, a quarter more than a prefix has."""
+def prefix_tokens(sets: DataFrame, percent: int, order: Plan, before: Plan | None) -> DataFrame:
+    """token: the first tokens by an order, a quarter more than a prefix has, without those that came first by the order before."""
+    sent = sets.sparkSession.sparkContext.broadcast((order, before))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, before = sent.value
         for _, own in read_sets(batches):
-            some = np.concatenate([s[: prefix(len(s), percent, SHARED) * 5 // 4] for s in own])
-            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["token"])
+            some = []
+            for s in own:
+                size = prefix(len(s), percent, SHARED) * 5 // 4
+                first = order.ordered(s, size)
+                some.append(first if before is None else first[~np.isin(first, before.ordered(s, size))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], ["token"])
 
     return sets.select("n", "tokens").mapInArrow(run, "token bigint")
 
 
 def planned(sets: DataFrame, percent: int) -> Plan:
-    """Common tokens from counts over all documents, and the boundary from the mean length of the lists."""
+    """Common tokens, and the boundary from the mean length of the lists.
+
+    Tokens are counted over all documents whose prefix they are in. Where common ones go to the end of the order, others come
+    into the prefixes, which are counted next, until a round finds few that are common. Rounds beyond save time, not links.
+    """
     spark = sets.sparkSession
-    counts = prefix_tokens(sets, percent).groupBy("token").agg(F.count("*").alias("c"))
-    counts = written(spark, counts.where(F.col("c") > 1), "tokens")  # a token in one document makes no list
-    total = counts.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") <= HEAVY, F.col("c") * F.col("c"))).alias("scans"), *[F.sum((F.col("c") > HEAVY * 4**i).cast("bigint")).alias(f"over{i}") for i in range(20)]).first()
-    level = next(i for i in range(20) if 8 * (total[f"over{i}"] or 0) <= 1 << MAX_BITS or i == 19)
-    few = HEAVY * 4**level
-    heavy = bloom(counts.where(F.col("c") > few), "token") if total[f"over{level}"] else None
+    order, before, counts, known = Plan(percent, [], HEAVY, 0), None, None, 0
+    for _ in range(ROUNDS):
+        new = prefix_tokens(sets, percent, order, before).groupBy("token").agg(F.count("*").alias("c"))
+        old = counts
+        if old is not None:
+            new = new.unionByName(old).groupBy("token").agg(F.sum("c").alias("c"))
+        counts = written(spark, new.where(F.col("c") > 1), "tokens")  # a token in one document makes no list
+        if old is not None:
+            forget(old)
+        total = counts.agg(F.sum("c").alias("all"), F.sum(F.when(F.col("c") <= HEAVY, F.col("c") * F.col("c"))).alias("scans"), *[F.sum((F.col("c") > HEAVY * 4**i).cast("bigint")).alias(f"over{i}") for i in range(20)]).first()
+        level = next(i for i in range(20) if 8 * (total[f"over{i}"] or 0) <= 1 << MAX_BITS or i == 19)
+        few, found = HEAVY * 4**level, total[f"over{level}"] or 0
+        order, before = Plan(percent, [bloom(counts.where(F.col("c") > HEAVY * 4**i), "token") for i in range(level, 20) if total[f"over{i}"]], few, 0), order
+        if found <= known * 1.01:
+            break
+        known = found
+    heavy = order.heavy
     mean = (total["scans"] or 0) / max(1, total["all"] or 0)
     boundary = 0
     while True:
