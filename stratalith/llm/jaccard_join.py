@@ -42,10 +42,10 @@ SHINGLE, PERCENT = 3, 90
 SHARED = 4
 #: A token in more documents than this comes last in the order; on lists of at most so many, pairs are formed.
 HEAVY = 16
-#: A block holds about so many tokens and sets at most; larger groups are split into blocks, which share so many sets as hubs.
-GROUP_TOKENS, GROUP_SETS, HUBS = 1_500_000, 4_000, 4
+#: A block holds about so many tokens and sets; groups of more than two blocks are split, and all blocks get so many sets as hubs.
+GROUP_TOKENS, GROUP_SETS, HUBS = 1_500_000, 8_000, 4
 #: Rounds of counting tokens, at most.
-ROUNDS = 5
+ROUNDS = 2
 #: What an entry of a list costs, in rows of subsets.
 ENTRY_COST = 1.0
 MAX_BITS = 28
@@ -323,10 +323,11 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     lists = entries.groupBy("list").agg(F.count("*").alias("c"), F.min("k").alias("pivot")).where("c > 1")
     rows = written(spark, entries.join(lists, "list"), "shared-entries")
     forget(counted, entries)
-    few = rows.where(F.col("c") <= plan.few).select("list", "k", "n", "w")
-    other = few.select("list", F.col("k").alias("k2"), F.col("n").alias("n2"))
-    fits = (F.col("k") < F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    pairs = few.join(other, "list").where(fits).groupBy("k", "k2").agg(F.sum("w").alias("common"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    # A short list is one small array; its pairs are formed there.
+    few = rows.where(F.col("c") <= plan.few).groupBy("list").agg(F.collect_list(F.struct("k", "n", "w")).alias("on"))
+    fits = f"x.k < y.k and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    met = F.expr(f"flatten(transform(`on`, x -> transform(filter(`on`, y -> {fits}), y -> struct(x.k as k, y.k as k2, x.n as n, y.n as n2, x.w as w))))")
+    pairs = few.select(F.inline(met)).groupBy("k", "k2").agg(F.sum("w").alias("common"), F.first("n").alias("n"), F.first("n2").alias("n2"))
     pairs = pairs.where(F.expr(f"common >= least({SHARED}, ({percent} * (n + n2) + {99 + percent}) div {100 + percent})"))
     stars = rows.where((F.col("c") > plan.few) & (F.col("k") != F.col("pivot"))).select(F.col("k").alias("a"), F.col("pivot").alias("b"))
     groups = components(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).unionByName(stars)).select(F.col("component").alias("pivot"), F.col("node").alias("k"))
@@ -336,9 +337,11 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("bigint").alias("blocks"),
         *[f(F.struct(F.xxhash64("k", F.lit(i)), "k", "row")).alias(f"hub{i}{f.__name__}") for i in range(HUBS // 2) for f in (F.min, F.max)],
     )
+    size = F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")).cast("bigint")
+    weights = weights.withColumn("blocks", size)
     dealt = written(spark, members.join(weights.select("pivot", "blocks"), "pivot").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))), "dealt")
     wanted = bloom(members.select(F.xxhash64("row").alias("id")).distinct(), "id")
-    chosen = written(spark, only_rows(sets, wanted).join(members.select("k", "row"), ["k", "row"]), "chosen")
+    chosen = written(spark, only_rows(sets, wanted), "chosen")  # and a few others, which no group asks for
     # Each block alone, and with the hubs of its group where that has more blocks.
     hubs = weights.where("blocks > 1").select("pivot", "blocks", F.explode(F.array(*[c for c in weights.columns if c.startswith("hub")])).alias("hub"))
     hubs = hubs.select("pivot", "hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
