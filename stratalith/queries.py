@@ -105,8 +105,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "having_global": ("SELECT COUNT(*) AS n FROM lineitem HAVING n > 5", "SELECT count(*) AS n FROM lineitem HAVING count(*) > 5"),
     "global_empty_agg": ("SELECT COUNT(*) AS n, SUM(l_partkey) AS s, AVG(l_quantity) AS a, MIN(l_returnflag) AS m FROM lineitem WHERE l_quantity < 0", "SELECT count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS s, avg(l_quantity) AS a, min(l_returnflag) AS m FROM lineitem WHERE l_quantity < 0"),
     "order_multi": ("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey", None),
-    "order_nulls": ("SELECT l_orderkey, number, maybe FROM lines ORDER BY maybe, l_orderkey, number LIMIT 100", "SELECT l_orderkey, number, maybe FROM lines ORDER BY maybe NULLS FIRST, l_orderkey, number LIMIT 100"),
-    "order_by_expression": ("SELECT c_custkey, lengthUTF8(c_name) AS n FROM customer ORDER BY n DESC, c_custkey LIMIT 50", "SELECT c_custkey, length(c_name) AS n FROM customer ORDER BY n DESC, c_custkey LIMIT 50"),
+    "order_nulls": ("SELECT l_orderkey, number, maybe FROM lines ORDER BY maybe, l_orderkey, number", "SELECT l_orderkey, number, maybe FROM lines ORDER BY maybe NULLS FIRST, l_orderkey, number"),
+    "order_by_expression": ("SELECT c_custkey, lengthUTF8(c_name) AS n FROM customer ORDER BY n DESC, c_custkey", "SELECT c_custkey, length(c_name) AS n FROM customer ORDER BY n DESC, c_custkey"),
     "limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10", None),
     "limit_comma": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10, 25", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10"),
     "distinct_one": ("SELECT DISTINCT c_mktsegment FROM customer", None),
