@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import Words, mixed, released, slices, windows
-from .shared import Bloom, forget, fresh, spread_join, table, written
+from .shared import WIDE, Bloom, forget, fresh, spread_join, table, written
 
 SHINGLE, PERCENT = 3, 90
 #: Common tokens of the prefixes of large sets.
@@ -341,7 +341,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     weights = weights.withColumn("blocks", size)
     dealt = written(spark, members.join(weights.select("pivot", "blocks"), "pivot").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))), "dealt")
     wanted = bloom(members.select(F.xxhash64("row").alias("id")).distinct(), "id")
-    chosen = written(spark, only_rows(sets, wanted), "chosen")  # and a few others, which no group asks for
+    chosen = written(spark, only_rows(sets, wanted), "chosen", WIDE)  # and a few others, which no group asks for
     # Each block alone, and with the hubs of its group where that has more blocks.
     hubs = weights.where("blocks > 1").select("pivot", "blocks", F.explode(F.array(*[c for c in weights.columns if c.startswith("hub")])).alias("hub"))
     hubs = hubs.select("pivot", "hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
@@ -380,7 +380,7 @@ def placed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]
     if percent <= 50:
         raise ValueError("percent must be above 50")
     spark = docs.sparkSession
-    sets = written(spark, all_sets(docs, n), "sets")
+    sets = written(spark, all_sets(docs, n), "sets", WIDE)
     keys = sets.drop("tokens", "row")
     own = written(spark, keys.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     nodes = components(links(sets, percent))
