@@ -179,3 +179,60 @@ def test_gradients_are_those_of_finite_differences():
             down = loss()
             net.p[k][at] = p[at]
             assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=2e-4), k
+
+
+def leafy(hot=12):
+    """A network that tells words of one ending apart by their leaves."""
+    n, each = np.arange(60, 21, -1), gated_lm.LEAVES
+    leaf = np.arange(39) % gated_lm.OTHERS * each
+    by_leaf = np.stack([np.full(gated_lm.OTHERS * each, 3), np.full(gated_lm.OTHERS * each, 1)], 1)
+    by_ending = by_leaf.reshape(gated_lm.OTHERS, each, 2).sum(1)
+    return Network(Vocabulary(np.arange(1, 40, dtype=np.uint64) * np.uint64(7919), n, leaf // each, 9000, 1500, 20, by_ending, hot, (leaf, by_leaf)))
+
+
+def test_probabilities_of_leaves_sum_to_one_and_do_not_depend_on_the_lanes(monkeypatch):
+    net, rnd = leafy(), np.random.default_rng(6)
+    codes = net.v.end + 1 + gated_lm.OTHERS * gated_lm.LEAVES
+    lengths = np.array([1, 400, 9, 33, 2])
+    text = rnd.integers(0, codes, lengths.sum())
+    net.run_fine(text, lengths, True)
+    one = net.run_fine(np.arange(codes), np.ones(codes, int), False)
+    assert np.exp(one).sum() == pytest.approx(1, abs=1e-4)
+    want = net.run_fine(text, lengths, False)
+    for lanes, tile in ((1, 1), (3, 7)):
+        monkeypatch.setattr(gated_lm, "LANES", lanes)
+        monkeypatch.setattr(gated_lm, "TILE", tile)
+        monkeypatch.setattr(gated_lm, "LANE_TOKENS", 20)
+        assert np.allclose(net.run_fine(text, lengths, False), want, atol=1e-4)
+
+
+def test_gradients_of_leaves_are_those_of_finite_differences():
+    net, rnd = leafy(), np.random.default_rng(7)
+    x, y = rnd.integers(0, net.inputs, (4, 5)), net.v.end + 1 + rnd.integers(0, 3, (4, 5))
+    leaf, fresh, state = rnd.integers(0, gated_lm.LEAVES, (4, 5)), np.zeros((4, 5), bool), np.zeros((5, gated_lm.HIDDEN))
+    net.p, net.full = {k: p.astype(np.float64) for k, p in net.p.items()}, 20
+    before = {k: p.copy() for k, p in net.p.items()}
+    net.window(x, y, fresh, state, True, leaf)
+    grads = {k: g for k, (_, g) in net.grads.items()}
+    for k in ("leaves", "leaf_bias", "turn", "classes"):
+        for at in list(zip(*np.nonzero(np.abs(grads[k]) > 1e-3)))[:12]:
+            up, down = ({n: q.copy() for n, q in before.items()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            loss = []
+            for net.p in (up, down):
+                loss.append(-net.window(x, y, fresh, state, False, leaf)[0].sum() / net.full)
+            assert grads[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=2e-4), k
+
+
+def test_words_that_are_not_frequent_follow_the_context(spark, monkeypatch):
+    """Words of one ending: which of them comes depends on the text before, not on their counts alone."""
+    monkeypatch.setattr(gated_lm, "HOT", 4)  # the words: the, of, and
+    rnd = np.random.default_rng(8)
+    train, held = ([i for i in range(5000) if (zlib.crc32(str(i).encode()) % 7 != 2) == t] for t in (True, False))
+    pairs = ["the of and aa xring", "the of and bb yling"]
+    rows = [(i, " ".join(pairs[k] for k in rnd.integers(0, 2, 20))) for i in train[:1500]]
+    docs = spark.createDataFrame(rows + list(zip(held, ["aa xring", "aa yling", "bb xring", "bb yling"])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in scores(docs).collect()}
+    right_a, wrong_a, wrong_b, right_b = (got[i] for i in held[:4])
+    assert right_a - wrong_a > 0.3 and right_b - wrong_b > 0.3
