@@ -101,14 +101,16 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) ->
 class Model:
     """Columns of weights: one machine per pair of families, then one per pair of languages of a family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], own: bool = False):
+        """own: x is scaled where it is, so that the sample is not held twice."""
         self.families: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             self.families.setdefault(family(lang), []).append(lang)
         scale = np.sqrt(np.einsum("ij,ij->j", x, x) / max(1, len(x))) + np.float32(1e-4)  # rare grams weigh as much as common ones
-        x = x / scale
+        x = np.divide(x, scale, out=x if own else None)
         mean = np.float32(max(1e-12, np.sqrt(np.einsum("ij,ij->i", x, x)).mean())) if len(x) else np.float32(1)
-        scale, x = scale * mean, x / mean  # rows of a mean length of 1
+        scale = scale * mean
+        x /= mean  # rows of a mean length of 1
         labels, kin = np.array(langs), np.array([family(v) for v in langs])
         self.pairs: list[tuple[str, str]] = []
         columns, offsets = [], []
@@ -196,7 +198,7 @@ def sample(docs: DataFrame, max_rows: int = MAX_SAMPLE) -> tuple[np.ndarray, lis
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_SAMPLE) -> Model:
-    return Model(*sample(docs, max_rows))
+    return Model(*sample(docs, max_rows), own=True)
 
 
 def with_language(docs: DataFrame, model: Model, lang: str = "_lang", score: str = "_score") -> DataFrame:

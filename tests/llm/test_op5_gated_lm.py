@@ -236,3 +236,13 @@ def test_words_that_are_not_frequent_follow_the_context(spark, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in scores(docs).collect()}
     right_a, wrong_a, wrong_b, right_b = (got[i] for i in held[:4])
     assert right_a - wrong_a > 0.3 and right_b - wrong_b > 0.3
+
+
+@pytest.mark.parametrize("fill", [False, True])
+def test_the_most_frequent_are_found_by_one_comparison(spark, fill):
+    """However many steps of counts there are; a term for each would fill the driver with the plan."""
+    counts = spark.range(1, 3000).selectExpr("id * 7919 as token", "id * id as c")
+    got = gated_lm.most_frequent(counts, 2500, fill)
+    assert 2300 < got.num_rows <= 2500 and got["c"].to_pylist()[:2300] == [i * i for i in range(2999, 699, -1)]
+    plan = gated_lm._frequent(counts, 2500, fill)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("log2") + plan.lower().count("floor") <= 4
